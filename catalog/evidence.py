@@ -1,5 +1,8 @@
 """Evidence aggregates and the risk score."""
 
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import query
@@ -11,6 +14,7 @@ from riskframe.operators import evidence
 from riskframe.operators.changes import version_sequence
 from riskframe.operators.matching import match_blocklist
 from riskframe.plans.risk import score_packages
+from riskframe.session import durable
 from riskframe.sources.files import bundled_blocklist
 
 ADVISORY_SCORE = f"""
@@ -93,11 +97,31 @@ SCORED = f"""
         FROM final)"""
 
 
-def scored(d):
+class Evidence(NamedTuple):
+    """The four kinds of evidence, in the order the scoring functions take them."""
+
+    advisories: DataFrame
+    detections: DataFrame
+    changes: DataFrame
+    reports: DataFrame
+
+
+def evidence_once(d):
+    """Evidence for a single use: everything stays one lazy plan."""
+    return Evidence(d.adapter("advisories"), detections(d), version_changes(d), reports(d))
+
+
+def evidence_stored(d):
+    """Evidence for several uses: what is costly to find is written once and read back."""
+    once = evidence_once(d)
+    return once._replace(detections=durable(once.detections), changes=durable(once.changes))
+
+
+def scored(d, found=None):
     """Every package scored from all five kinds of evidence."""
+    e = found or evidence_once(d)
     return score_packages(
-        d.adapter("packages"), d.adapter("advisories"), detections(d), version_changes(d),
-        d.adapter("maintainer_metrics"), reports(d),
+        d.adapter("packages"), e.advisories, e.detections, e.changes, d.adapter("maintainer_metrics"), e.reports
     )
 
 

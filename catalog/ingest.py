@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import query
 from riskframe.sources import advisories, cargo, common, golang, manifests, node, python
-from riskframe.sources.files import source_files
+from riskframe.session import scratch_path
+from riskframe.sources.files import land_manifests, source_files
 from riskframe.operators.detection import source_lines
 
 O, C, K = "o_orderkey", "o_custkey", "o_custkey % 10"
@@ -231,7 +232,10 @@ def resolved_packages(d):
     files = corpus(d)
     is_lock = F.col("file_name").isin("package-lock.json", "bun.lock", "poetry.lock", "Pipfile.lock", "go.sum", "Cargo.lock")
     kept = files.filter(~is_lock).unionByName(files.filter(is_lock).join(open_orders, "project_id", "left_semi"))
-    return manifests.resolve_packages(kept).groupBy("project_id", "ecosystem").agg(F.count("*").alias("packages"))
+    # A corpus lives in a table partitioned by file name: each reader opens its own kind only.
+    path = scratch_path(d.spark, "manifests")
+    land_manifests(kept, path)
+    return manifests.resolve_packages(d.spark.read.parquet(path)).groupBy("project_id", "ecosystem").agg(F.count("*").alias("packages"))
 
 
 def osv_documents(d):

@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from catalog.detection import DETECTED_SQL, detections
-from catalog.evidence import CHANGES, SCORED, reports, scored, version_changes
+from catalog.detection import DETECTED_SQL
+from catalog.evidence import CHANGES, SCORED, evidence_once, evidence_stored, reports, scored, version_changes
 from catalog.functions import RANK
 from catalog.matching import BLOCKLIST_SQL, MATCHED_SQL, TECHNIQUE_SQL
-from riskframe.functions.severity import score_to_severity
 from riskframe.plans import reports as views
 from riskframe.plans import risk
 
@@ -29,12 +28,9 @@ ADVICE_SQL = f"""
         UNION ALL SELECT package_id, 6, '', 2, 'Monitor for updates and plan upgrade within next sprint' FROM risks WHERE severity = 'medium')"""
 
 
-def _evidence(d):
-    return d.adapter("advisories"), detections(d), version_changes(d), reports(d)
-
-
-def _advice(d):
-    return risk.recommendations(scored(d), *_evidence(d))
+def _advice(d, found=None):
+    e = found or evidence_stored(d)
+    return risk.recommendations(scored(d, e), *e)
 
 
 @query(f"WITH {ADVICE_SQL} SELECT package_id, section, step, text FROM advice")
@@ -67,8 +63,9 @@ ISSUE_SQL = f"""
     SELECT package_id, upper(severity) AS severity, left(name, 20) AS package, left(version, 10) AS version, left(issue, 32) AS issue
     FROM risks JOIN iss USING (package_id)""")
 def summary_rows(d):
-    risks = scored(d)
-    return views.summary_table(risks, risk.primary_issue(risks, d.adapter("advisories"), detections(d)))
+    e = evidence_stored(d)
+    risks = scored(d, e)
+    return views.summary_table(risks, risk.primary_issue(risks, e.advisories, e.detections))
 
 
 @query(f"""
@@ -81,7 +78,8 @@ def summary_rows(d):
            CASE WHEN days_since_push IS NULL THEN '—' ELSE concat('stars ', CAST(stars AS STRING), ', ', CAST(days_since_push AS STRING), 'd ago') END AS maintainer
     FROM risks AS r LEFT JOIN lists USING (package_id) LEFT JOIN best USING (package_id)""")
 def report_table(d):
-    rows = views.report_rows(scored(d), detections(d), risk.top_recommendations(_advice(d)))
+    e = evidence_stored(d)
+    rows = views.report_rows(scored(d, e), e.detections, risk.top_recommendations(_advice(d, e)))
     # The risk percentage is cut, not rounded, so it is left to the tests.
     return rows.select(
         "package_id", "severity", "is_malicious", "name", "advisory_count", "detection_count", "technique_ids",
@@ -104,7 +102,8 @@ def report_table(d):
     FROM risks AS r LEFT JOIN counts USING (package_id) LEFT JOIN finds USING (package_id) LEFT JOIN hits USING (package_id)
     LEFT JOIN changed USING (package_id)""")
 def explained_risk(d):
-    records = risk.assemble_risk(scored(d), *_evidence(d))
+    e = evidence_stored(d)
+    records = risk.assemble_risk(scored(d, e), *e)
     ids = F.array_distinct(F.transform("detections", lambda x: x["rule_id"]))
     sizes = records.select(
         "package_id", "severity", F.round("final_score", 6).alias("final_score"),
@@ -155,7 +154,7 @@ ISSUES_SQL = f"""
     SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY kind_order, rank, text, detail, kind, severity) AS position,
            kind, severity, text, detail, copies FROM grouped""")
 def issue_list(d):
-    return views.issues_long(*_evidence(d))
+    return views.issues_long(*evidence_stored(d))
 
 
 @query(f"""

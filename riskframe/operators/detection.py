@@ -36,10 +36,13 @@ def _needles(rules: Sequence[Rule]) -> list[str]:
     return sorted(n for n in every if not any(m != n and m in n for m in every))
 
 
-def _hit(rule: Rule, line: Column, code: Column) -> Column:
-    text = code if rule.origin == "structural" else line
-    # (?d): only \n ends a line, as lines were split on it.
-    found = _any_needle(text, rule.needles) & text.rlike("(?d)" + rule.regex)
+def _hit(rule: Rule, line: Column) -> Column:
+    text = line
+    if rule.origin == "structural":
+        text = F.regexp_replace(line, r"(?d)(^|[^:])//.*$", "$1")
+    # (?d): only \n ends a line, as lines were split on it. The substring test comes first,
+    # so that expressions run only where they can match.
+    found = _any_needle(line, rule.needles) & text.rlike("(?d)" + rule.regex)
     if rule.excludes:
         found = found & ~text.rlike("(?d)" + rule.excludes)
     return F.when(found, F.struct(
@@ -54,22 +57,21 @@ def _hit(rule: Rule, line: Column, code: Column) -> Column:
 def detect_lines(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per (file, line, rule) that matches, in one narrow pass over the lines.
 
-    A plain substring test drops nearly every line before an expression is tried.
+    A plain substring test drops nearly every line before an expression is tried. The
+    rules themselves sit in a higher-order filter: generated code stays small enough to
+    be compiled, however long the rule list gets.
     """
     kept = [c for c in lines.columns if c != "line"]
-    code = F.regexp_replace("line", r"(^|[^:])//.*$", "$1")
-    suspects = lines.filter(_any_needle(F.col("line"), _needles(rules))).withColumn("_code", code)
-    hits = F.array(*(_hit(rule, F.col("line"), F.col("_code")) for rule in rules))
-    return (
-        suspects.select(*kept, "line", F.explode(hits).alias("_hit")).filter("_hit IS NOT NULL")
-        .select(*kept, "_hit.*", code_snippet(F.col("line")).alias("code_snippet"))
+    suspects = lines.filter(_any_needle(F.col("line"), _needles(rules)))
+    hits = F.filter(F.array(*(_hit(rule, F.col("line")) for rule in rules)), lambda h: h.isNotNull())
+    return suspects.select(*kept, "line", F.explode(hits).alias("_hit")).select(
+        *kept, "_hit.*", code_snippet(F.col("line")).alias("code_snippet")
     )
 
 
 def detect_files(files: DataFrame, rules: Sequence[Rule] = RULES, content: str = "content") -> DataFrame:
-    """`detect_lines` over whole files; files without any needle are never split."""
-    suspects = files.filter(_any_needle(F.col(content), _needles(rules)))
-    return detect_lines(source_lines(suspects, content), rules)
+    """`detect_lines` over whole files."""
+    return detect_lines(source_lines(files, content), rules)
 
 
 def suspicious_command(script: Column, commands: Sequence[str] = SUSPICIOUS_COMMANDS) -> Column:

@@ -42,6 +42,12 @@ def read_manifests(spark: SparkSession, path: str, glob: str | None = None) -> D
     return describe_files(reader.text(path, wholetext=True))
 
 
+def land_manifests(files: DataFrame, path: str, mode: str = "append") -> None:
+    """Store a corpus as a table partitioned by file name, so that a reader of one kind of
+    manifest opens only those files. Tasks write in place; nothing is shuffled."""
+    files.write.mode(mode).partitionBy("file_name").parquet(path)
+
+
 def source_files(files: DataFrame, path: str = "path") -> DataFrame:
     """(package, version, file_path, content) from `<root>/<name>@<version>/<archive>/<file>`.
 

@@ -59,7 +59,7 @@ def main() -> int:
     from riskframe.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     names = sys.argv[2:] or list(QUERIES)
-    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{TESTDATA}/sf{sf}"
     con, bad = connect(sf_dir), 0
