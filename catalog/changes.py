@@ -6,6 +6,7 @@ from catalog.base import query
 from catalog.evidence import CHANGES, version_changes
 from catalog.functions import SEMVER_RE2, VERSION_TEXT
 from riskframe.operators import changes
+from riskframe.session import durable, spread
 from riskframe.sources.registry import registry_snapshots
 
 _PART = "CAST(regexp_extract(version, '" + SEMVER_RE2 + "', {i}) AS BIGINT)"
@@ -29,7 +30,7 @@ LICENSES = "['MIT', 'ISC', 'GPL']"
 
 
 def registry_documents(d):
-    return d.table("orders").selectExpr(
+    return spread(d.table("orders")).selectExpr(
         "concat('lib-', o_orderkey) AS package",
         """concat('{"versions":{"1.', o_custkey % 10, '.0":{"license":"MIT","dependencies":{"a":"1","b', o_custkey % 3,
              '":"1"},"dist":{"fileCount":', 1 + o_custkey % 4, '}},"1.99.0-rc.1":{"license":7},"2.0.0":{"license":',
@@ -83,7 +84,8 @@ def registry_versions(d):
     SELECT package, old, '1.99.0-rc.1', 'dependencies_changed', 'medium',
            concat('Dependencies changed between ', old, ' and 1.99.0-rc.1: removed: a, ', b) FROM x""")
 def registry_changes(d):
-    snapshots = registry_snapshots(registry_documents(d))
+    # Read three times and counted once, so the parsed documents are stored.
+    snapshots = durable(registry_snapshots(registry_documents(d)))
     return changes.version_diffs(snapshots, changes.version_pairs(snapshots))
 
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, text_literal
+from catalog.base import ADAPTERS, query, text_literal
 from riskframe.functions.text import detection_issue_text
 from riskframe.operators import detection
+from riskframe.session import spread
 from riskframe.seeds import RULES, SUSPICIOUS_COMMANDS
 
 LINES = """
@@ -34,8 +35,12 @@ DETECTED_SQL = (
 )
 
 
+def source_files(d):
+    return d.sql(ADAPTERS["source_files"], documents=spread(d.table("documents")))
+
+
 def detections(d):
-    return detection.detect_files(d.adapter("source_files"))
+    return detection.detect_files(source_files(d))
 
 
 @query(DETECTED_SQL)
@@ -48,7 +53,7 @@ def code_findings(d):
 
 @query(f"SELECT package_id, file_path, line, CAST(line_number AS INTEGER) AS line_number FROM ({LINES}) AS l")
 def numbered_lines(d):
-    return detection.source_lines(d.adapter("source_files")).select("package_id", "file_path", "line", "line_number")
+    return detection.source_lines(source_files(d)).select("package_id", "file_path", "line", "line_number")
 
 
 SCRIPTS = """

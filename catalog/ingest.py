@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import query
 from riskframe.sources import advisories, cargo, common, golang, manifests, node, python
-from riskframe.session import scratch_path
+from riskframe.session import scratch_path, spread
 from riskframe.sources.files import land_manifests, source_files
 from riskframe.operators.detection import source_lines
 
@@ -42,7 +42,7 @@ CONTENTS = {
 def corpus(d, *names):
     """(project_id, path, file_name, content) of the named manifests of every order."""
     entries = ", ".join(f"struct('{n}' AS file_name, {CONTENTS[n]} AS content)" for n in names or CONTENTS)
-    files = d.table("orders").selectExpr(O, f"explode(array({entries})) AS f")
+    files = spread(d.table("orders")).selectExpr(O, f"explode(array({entries})) AS f")
     return files.selectExpr(f"{O} AS project_id", f"concat('/', {O}, '/', f.file_name) AS path", "f.*")
 
 
@@ -124,7 +124,7 @@ def requirements(d):
     keyed AS (SELECT *, replace(replace(lower(name), '-', '_'), '.', '_') AS pkg_key FROM named WHERE name <> '')
     SELECT doc_id AS project_id, pkg_key, arg_max(name, n) AS name FROM keyed GROUP BY doc_id, pkg_key""")
 def document_requirements(d):
-    files = d.table("documents").selectExpr("doc_id AS project_id", "'requirements.txt' AS file_name", "text AS content")
+    files = spread(d.table("documents")).selectExpr("doc_id AS project_id", "'requirements.txt' AS file_name", "text AS content")
     return python.requirements_packages(files).select("project_id", "pkg_key", "name")
 
 
@@ -239,7 +239,7 @@ def resolved_packages(d):
 
 
 def osv_documents(d):
-    return d.table("lineitem").selectExpr(
+    return spread(d.table("lineitem")).selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey",
         """to_json(struct(concat('OSV-', l_orderkey) AS id, CASE WHEN l_suppkey % 2 = 0 THEN concat('Summary ', l_partkey) END AS summary,
            CASE WHEN l_suppkey % 3 = 0 THEN 'text' END AS details,
@@ -288,7 +288,7 @@ def osv_intervals(d):
            CASE WHEN l_linenumber = 2 THEN concat('GHSA-', CAST(l_orderkey AS STRING)) ELSE 'S' END AS title
     FROM {lineitem}""")
 def github_records(d):
-    raw = d.table("lineitem").selectExpr(
+    raw = spread(d.table("lineitem")).selectExpr(
         "l_orderkey", "l_partkey", "l_linenumber",
         """to_json(struct(struct(concat('GHSA-', l_orderkey) AS ghsaId, CASE WHEN l_linenumber <> 2 THEN 'S' END AS summary,
            CASE l_suppkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' END AS severity) AS advisory,
@@ -308,7 +308,7 @@ def github_records(d):
     FROM {documents}""")
 def nvd_records(d):
     score = "array(struct(struct(cast({0} AS double) AS baseScore) AS cvssData))"
-    raw = d.table("documents").selectExpr(
+    raw = spread(d.table("documents")).selectExpr(
         "doc_id",
         f"""to_json(struct(struct(concat('CVE-', doc_id) AS id, '2024-01-01T00:00:00.000' AS published,
             CASE WHEN doc_id % 4 = 3 THEN array(struct('es' AS lang, text AS value))
@@ -323,7 +323,7 @@ def nvd_records(d):
     SELECT concat('@', source, '/lib') AS package, concat('1.', CAST(doc_id AS STRING)) AS version, 'src/index.js' AS file_path,
            CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count FROM {{documents}}""")
 def source_trees(d):
-    files = d.table("documents").selectExpr(
+    files = spread(d.table("documents")).selectExpr(
         "concat('file:/cache/@', source, '+lib@1.', doc_id, '/package/src/index.js') AS path", "text AS content"
     )
     lines = source_lines(source_files(files))

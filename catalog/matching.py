@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.base import query, text_literal
 from riskframe.operators import matching
 from riskframe.plans.reports import rank_advisories
+from riskframe.session import spread
 from riskframe.seeds import POPULAR_PACKAGES, TECHNIQUES, blocklist_document
 from riskframe.sources.files import bundled_blocklist
 
@@ -119,7 +120,7 @@ WORD_NAMES = """SELECT DISTINCT word AS name FROM (
     SELECT n.name, t.external_id FROM names AS n JOIN top AS t ON n.token = t.token JOIN docs AS d ON d.external_id = t.external_id
     WHERE contains(lower(d.text), n.token)""")
 def nvd_matches(d):
-    cves = d.table("documents").selectExpr(
+    cves = spread(d.table("documents")).selectExpr(
         "concat('CVE-', doc_id) AS external_id", "n_chars AS published_at", "text AS description"
     )
     return matching.match_nvd(d.sql(WORD_NAMES), cves).select("name", "external_id")

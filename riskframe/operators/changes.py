@@ -19,8 +19,9 @@ def previous_stable_version(versions: DataFrame, max_group: int = MAX_GROUP) ->
     Null when the version is no semantic version or nothing precedes it. Pre-releases of
     one core share its answer, so only distinct cores are ordered.
     """
-    known = versions.select("package", "version").distinct().withColumn(
-        "_core", semver_core(F.col("version"))
+    # `explode` keeps the parsed core one computed column instead of one copy per use.
+    known = versions.select("package", "version").distinct().select(
+        "package", "version", F.explode(F.array(semver_core(F.col("version")))).alias("_core")
     )
     valid = known.filter("_core IS NOT NULL").select("package", "version", "_core.*")
     stable = F.when(

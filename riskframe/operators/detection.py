@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.text import code_snippet, script_snippet
-from riskframe.operators.matching import typosquat_hit
+from riskframe.operators.matching import with_look_alike
 from riskframe.seeds import RULES, SUSPICIOUS_COMMANDS, Rule
 
 DETECTION_FIELDS = (
@@ -100,18 +100,17 @@ def install_hook_findings(packages: DataFrame) -> DataFrame:
 
 def typosquat_findings(packages: DataFrame, exact_first: bool = False) -> DataFrame:
     """One finding per look-alike package row."""
-    hit = typosquat_hit(F.col("name"), exact_first=exact_first)
-    return packages.withColumn("_hit", hit).filter("_hit IS NOT NULL").select(
+    return with_look_alike(packages, exact_first).select(
         *packages.columns,
         F.lit("typosquatting").alias("pattern_type"),
         F.concat(
-            F.lit("package '"), "name", F.lit("' is similar to popular package '"), "_hit.popular",
-            F.lit("' (edit distance: "), F.col("_hit.distance").cast("string"), F.lit(")"),
+            F.lit("package '"), "name", F.lit("' is similar to popular package '"), "popular",
+            F.lit("' (edit distance: "), F.col("distance").cast("string"), F.lit(")"),
         ).alias("description"),
         F.lit(None).cast("string").alias("file_path"),
         F.lit(None).cast("int").alias("line_number"),
         F.lit(None).cast("string").alias("code_snippet"),
-        F.when(F.col("_hit.distance") == 1, 0.75).otherwise(0.5).alias("confidence"),
+        F.when(F.col("distance") == 1, 0.75).otherwise(0.5).alias("confidence"),
         F.lit("name").alias("origin"),
     )
 

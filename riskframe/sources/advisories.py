@@ -32,8 +32,8 @@ def _urls(references: Column) -> Column:
 
 
 def _parsed(raw: DataFrame, schema: str) -> DataFrame:
-    kept = [c for c in raw.columns if c != "json"]
-    return raw.select(*kept, F.from_json("json", schema).alias("v"))
+    """Each record parsed once: `explode` keeps later filters from parsing it again."""
+    return raw.select(*_keys(raw), F.explode(F.array(F.from_json("json", schema))).alias("v"))
 
 
 def _keys(raw: DataFrame) -> list[str]:
