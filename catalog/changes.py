@@ -54,7 +54,7 @@ _BASE = """
     UNION ALL SELECT package, '1.99.0-rc.1', 0, 'unknown', '' FROM x
     UNION ALL SELECT package, '2.0.0', new_files, license, concat('a=3,', c, '=1') FROM x""")
 def registry_versions(d):
-    pairs = F.transform(F.array_sort(F.map_keys("dependencies")),
+    pairs = F.transform(F.sort_array(F.map_keys("dependencies")),
                         lambda k: F.concat(k, F.lit("="), F.try_element_at("dependencies", k)))
     return registry_snapshots(registry_documents(d)).select(
         "package", "version", F.size("files").cast("bigint").alias("file_count"), "license",

@@ -74,7 +74,7 @@ def npm_lock(d):
     rows = node.npm_lock_packages(corpus(d, "package-lock.json", "package.json"))
     return rows.select(
         "project_id", "pkg_key", "name", "version", "registry_url", "checksum", "is_direct", "is_dev", "depth",
-        F.array_join(F.array_sort("dependencies"), ",").alias("dependencies"), F.array_join("install_scripts", ";").alias("scripts"),
+        F.array_join(F.sort_array("dependencies"), ",").alias("dependencies"), F.array_join("install_scripts", ";").alias("scripts"),
     )
 
 

@@ -58,7 +58,7 @@ def placeholder_files(count: Column) -> Column:
 
 def files_removed_text(old: Column, new: Column, from_version: Column, to_version: Column) -> Column:
     """Description, or null when nothing was removed. Added files do not count."""
-    gone = F.array_sort(F.array_except(old, new))
+    gone = F.sort_array(F.array_except(old, new))
     return F.when(F.size(gone) > 0, F.concat(
         F.lit("Files removed between "), from_version, F.lit(" and "), to_version, F.lit(": "),
         F.array_join(gone, ", "),
@@ -75,8 +75,8 @@ def license_changed_text(old: Column, new: Column, from_version: Column, to_vers
 
 def dependencies_changed_text(old: Column, new: Column, from_version: Column, to_version: Column) -> Column:
     """Description of added and removed names, or null. Changed ranges do not count."""
-    added = F.array_sort(F.array_except(new, old))
-    removed = F.array_sort(F.array_except(old, new))
+    added = F.sort_array(F.array_except(new, old))
+    removed = F.sort_array(F.array_except(old, new))
     parts = F.concat_ws(
         "; ",
         F.when(F.size(added) > 0, F.concat(F.lit("added: "), F.array_join(added, ", "))),

@@ -110,7 +110,7 @@ def active_counts(risks: DataFrame, ignored: DataFrame) -> DataFrame:
 def scan_ecosystems(packages: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """Distinct ecosystems per scan as one sorted, comma-joined text."""
     return packages.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_set("ecosystem")), ",").alias("ecosystems")
+        F.array_join(F.sort_array(F.collect_set("ecosystem")), ",").alias("ecosystems")
     )
 
 

@@ -114,7 +114,7 @@ def collect_parts(df: DataFrame, keys: Sequence[str], item: str, out: str,
 
 
 def _sorted_items(item: str, out: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(F.col(item).alias("item"), "copies"))).alias(out)
+    return F.sort_array(F.collect_list(F.struct(F.col(item).alias("item"), "copies"))).alias(out)
 
 
 def _collect_small(rows: DataFrame, keys: Sequence[str], item: str, out: str) -> DataFrame:

@@ -66,14 +66,21 @@ def toml_sections(files: DataFrame) -> DataFrame:
     A file is one row, so it is cut at its `[header]` lines in place: the header a line
     belongs to is known without a window over lines.
     """
-    blocks = F.split("content", r"\n(?=[ \t]*\[{1,2}[ \t]*[A-Za-z0-9_\"'][^\]\n]*\]{1,2}[ \t]*(#[^\n]*)?\r?(\n|$))")
-    header = r"^\s*\[{1,2}[ \t]*([^\]\n]+?)[ \t]*\]{1,2}[^\n]*"
+    cut = r"\n(?=[ \t]*\[{1,2}[ \t]*[A-Za-z0-9_\"'][^\]\n]*\]{1,2}[ \t\r]*(?:#[^\n]*)?(?:\n|$))"
+    header = r"^[ \t]*\[{1,2}[ \t]*([^\]\n]+?)[ \t]*\]{1,2}"
+
+    def section(block: Column, number: Column) -> Column:
+        has_header = F.ltrim(block).startswith("[")
+        rest = F.substring(block, F.instr(F.concat(block, F.lit("\n")), "\n") + 1, F.length(block))
+        return F.struct(
+            number.alias("section_no"),
+            F.when(has_header, F.regexp_extract(block, header, 1)).otherwise("").alias("section"),
+            F.when(has_header, rest).otherwise(block).alias("body"),
+        )
+
+    # Name and body are made inside the array, once per section, whatever is asked of them.
     return files.select(
-        "project_id", "file_name", F.posexplode(blocks).alias("section_no", "_block")
-    ).select(
-        "project_id", "file_name", "section_no",
-        F.regexp_extract("_block", header, 1).alias("section"),
-        F.regexp_replace("_block", header, "").alias("body"),
+        "project_id", "file_name", F.inline(F.transform(F.split("content", cut), section))
     )
 
 
