@@ -19,17 +19,22 @@ def _path_part(path: Column, index: int) -> Column:
     return F.element_at(F.split(path, "/"), F.lit(index))
 
 
+def _decoded(path: Column) -> Column:
+    """A `_metadata.file_path` as plain text; a plus sign is no blank there."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def describe_files(text: DataFrame) -> DataFrame:
     """(project_id, path, file_name, content) of whole-text files; the folder is the project.
 
     A landing folder (`<project>/v=<n>/<file>`) is skipped when the project is named.
     """
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9]+:/+", "/")
+    path = F.regexp_replace(_decoded(F.col("_metadata.file_path")), r"^[a-z0-9]+:/+", "/")
     folder = F.when(_path_part(path, -2).startswith("v="), _path_part(path, -3)).otherwise(
         _path_part(path, -2)
     )
     return text.select(
-        F.url_decode(folder).alias("project_id"), path.alias("path"),
+        folder.alias("project_id"), path.alias("path"),
         _path_part(path, -1).alias("file_name"), F.col("value").alias("content"),
     )
 
@@ -64,7 +69,7 @@ def source_files(files: DataFrame, path: str = "path") -> DataFrame:
 def read_source_lines(spark: SparkSession, path: str) -> DataFrame:
     """(package, version, file_path, line_number, line) of extracted source trees."""
     text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    files = text.select(F.url_decode(F.col("_metadata.file_path")).alias("path"),
+    files = text.select(_decoded(F.col("_metadata.file_path")).alias("path"),
                         F.col("value").alias("content"))
     return source_lines(source_files(files))
 
