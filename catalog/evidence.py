@@ -11,7 +11,7 @@ from catalog.functions import RANK, SCORE
 from catalog.health import BANDS, HEALTH
 from catalog.matching import BLOCKLIST_SQL, MATCHED_SQL
 from riskframe.operators import evidence
-from riskframe.operators.changes import version_sequence
+from riskframe.operators.groups import carry_previous
 from riskframe.operators.matching import match_blocklist
 from riskframe.plans.risk import score_packages
 from riskframe.session import durable
@@ -45,15 +45,14 @@ CHANGES = """
 
 def version_changes(d):
     orders = d.table("orders").selectExpr(
-        "o_custkey AS package", "o_orderkey AS version", "o_orderdate AS released_at", "o_orderpriority AS license"
+        "o_custkey AS package_id", "o_orderkey AS to_version", "o_orderdate AS released_at", "o_orderpriority AS license",
+        "struct(o_orderkey AS version, o_orderpriority AS license) AS entry",
     )
-    pairs = version_sequence(orders, ["released_at", "version"])
-    old = orders.selectExpr("package", "version AS from_version", "license AS old_license")
-    new = orders.selectExpr("package", "version AS to_version", "license")
-    both = pairs.join(old, ["package", "from_version"]).join(new, ["package", "to_version"])
-    return both.filter("old_license <> license").selectExpr(
-        "package AS package_id", "from_version", "to_version", "'license_changed' AS change_type",
-        "concat('License changed from ', old_license, ' to ', license) AS description",
+    # The earlier version travels with its license, so no join has to look it up.
+    placed = carry_previous(orders, ["package_id"], ["released_at", "to_version"], "entry", "old")
+    return placed.filter("old.license <> license").selectExpr(
+        "package_id", "old.version AS from_version", "to_version", "'license_changed' AS change_type",
+        "concat('License changed from ', old.license, ' to ', license) AS description",
         "CASE WHEN to_version % 3 = 0 THEN 'medium' WHEN to_version % 3 = 1 THEN 'low' ELSE 'high' END AS severity",
     )
 

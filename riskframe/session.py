@@ -42,13 +42,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/riskframe-{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: later uses see the same
-    rows in the same slices, and losing an executor costs no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write `df` once to the shared folder and read it back.
+
+    Later uses see the same rows in the same slices, read only the columns they need, and
+    losing an executor costs no recomputation. (A checkpoint would compute `df` twice.)
+    The folder is scratch space of the cluster and is cleaned like its checkpoints.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
