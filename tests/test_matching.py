@@ -58,6 +58,22 @@ def test_osv_intervals(spark, version, ids):
     assert sorted(r.external_id for r in got) == ids
 
 
+def test_osv_equals_brute_force(spark):
+    import itertools
+    versions = [f"{a}.{b}.0{p}" for a, b, p in itertools.product(range(4), range(3), ("", "-rc.1"))]
+    spans = [("0", None), ("0", "2.1.0"), ("1.0.0", "1.2.0"), ("1.1.0", None), ("2.0.0", "3.0.0"), ("bad", None), ("1.0.0", "bad")]
+
+    def place(v):
+        core, _, pre = v.partition("-")
+        return [int(x) for x in core.split(".")] + [0 if pre else 1]
+
+    want = {(v, str(i)) for v in versions for i, (lo, hi) in enumerate(spans)
+            if "bad" not in (lo, hi) and (lo == "0" or place(v) >= place(lo)) and (hi is None or place(v) < place(hi))}
+    affected = ranges(spark, *((str(i), "npm", "p", lo, hi, None) for i, (lo, hi) in enumerate(spans)))
+    got = matching.match_osv(pkgs(spark, *(("p", v, "bun") for v in versions)), affected)
+    assert {(r.version, r.external_id) for r in got.collect()} == want
+
+
 def test_github_takes_the_newest_ten(spark):
     advisories = spark.createDataFrame([("p", f"G{i:02}", i % 7) for i in range(30)], "name STRING, external_id STRING, published_at INT")
     packages = pkgs(spark, ("p", "1", "nodejs"), ("p", "2", "bun"), ("p", "1", "Go"))
