@@ -6,7 +6,6 @@ from catalog.base import ADAPTERS, query
 from catalog.detection import DETECTED_SQL
 from catalog.filters import ARRIVALS
 from catalog.tables import EXPIRY, TTL
-from riskframe.operators.detection import detect_lines  # noqa: F401  (same operators as in batch)
 from riskframe.operators.filters import lock_events
 from riskframe.session import scratch_path
 from riskframe.streaming import watch

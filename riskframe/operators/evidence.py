@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.severity import severity_from_rank, severity_rank, severity_score
+from riskframe.operators.filters import split_ignored
 from riskframe.seeds import SEVERITY_SCORES
 
 
@@ -98,13 +99,12 @@ def severity_count_columns() -> list[Column]:
 def active_counts(risks: DataFrame, ignored: DataFrame) -> DataFrame:
     """`severity_counts` without each project's ignored packages, and the length of its list."""
     lists = ignored.select("project_id", "name").distinct()
-    active = risks.join(lists, ["project_id", "name"], "left_anti")
+    flagged = split_ignored(risks, lists, ["project_id", "name"])
+    counted = flagged.withColumn("severity", F.when(~F.col("is_ignored"), F.col("severity"))).groupBy(
+        "project_id"
+    ).agg(F.count("severity").alias("total_packages"), *severity_count_columns())
     sizes = lists.groupBy("project_id").agg(F.count("*").alias("ignored_count"))
-    projects = risks.select("project_id").distinct()
-    counted = projects.join(severity_counts(active), "project_id", "left").join(
-        sizes, "project_id", "left"
-    )
-    return counted.na.fill(0)
+    return counted.join(sizes, "project_id", "left").na.fill(0, ["ignored_count"])
 
 
 def scan_ecosystems(packages: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
