@@ -179,9 +179,8 @@ def cargo_lock(d):
 
 
 @query(f"""
-    SELECT {O} AS project_id, 'package' AS section, 2 AS entries FROM {{orders}} UNION ALL SELECT {O}, 'dependencies', 3 FROM {{orders}}
-    UNION ALL SELECT {O}, 'dev-dependencies', 1 FROM {{orders}} UNION ALL SELECT {O}, 'build-dependencies', 2 FROM {{orders}}
-    UNION ALL SELECT {O}, 'dependencies.tokio', 1 FROM {{orders}}""")
+    SELECT {O} AS project_id, section, CAST(entries AS BIGINT) AS entries FROM {{orders}}, (VALUES ('package', 2), ('dependencies', 3),
+        ('dev-dependencies', 1), ('build-dependencies', 2), ('dependencies.tokio', 1)) AS v(section, entries)""")
 def manifest_sections(d):
     lines = common.section_lines(corpus(d, "Cargo.toml"))
     return lines.groupBy("project_id", "section").agg(F.count("*").alias("entries"))
