@@ -30,9 +30,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured (tests)."""
+    """The folder all executors share, as `spark.checkpoint.dir` names it.
+
+    Where it is unset, a session in one JVM (tests) gets a temporary one; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
