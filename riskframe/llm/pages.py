@@ -156,7 +156,8 @@ class Lines:
 
     def block(self, spaced: bool) -> None:
         self.end_line()
-        self.gap = max(self.gap, 2 if spaced else 1)
+        if not self.mark:  # a block that opens a list item stays on the item's line
+            self.gap = max(self.gap, 2 if spaced else 1)
 
 
 def table_rows(node: Node, depth: int) -> list[list[str]]:
