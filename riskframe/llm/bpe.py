@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 # Bounds of the tables a worker keeps, in entries; a full table is begun anew.
 MAX_STATES = 500_000
-MAX_PIECES = 200_000
+MAX_PIECES = 300_000
 MAX_PAIRS = 500_000
 LONG_PIECE = 64
 
@@ -60,28 +60,28 @@ def merge(ranks: dict[bytes, int], text: bytes) -> list[int]:
 
 
 START = (None, b"", ())
+MEANING = -1
 
 
 class Transducer:
     """Encoder of single pieces of text; `encode(piece)` gives the token ids.
 
-    States are numbered as they are met: `states[n]` is what the number means, `numbers` the way back,
-    and `arcs` maps number * 256 + byte to (emitted tokens, next number).
+    A node maps a byte to (emitted tokens, next node), and MEANING to its state; `nodes` finds the node
+    of a state.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
         self._restart()
 
     def _restart(self) -> None:
-        self.states: list[tuple] = [START]
-        self.numbers: dict[tuple, int] = {START: 0}
-        self.arcs: dict[int, tuple[tuple, int]] = {}
+        self.start: dict = {MEANING: START}
+        self.nodes: dict[tuple, dict] = {START: self.start}
 
     def _is_whole(self, token: int) -> bool:
         """Do the merges make this token from its bytes?"""
@@ -92,12 +92,12 @@ class Transducer:
 
     def _joins(self, left: int, right: int) -> bool:
         """Do the merges leave these two tokens side by side?"""
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = merge(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[left, right] = known
+            known = self.pairs[pair] = merge(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def _arc(self, state: tuple, byte: int) -> tuple:
@@ -140,28 +140,27 @@ class Transducer:
         kept = tuple([lasts[n - 1] if n in used else None for n in range(cut + 1, end + 1)])
         return emitted, (emitted[-1], pending[cut:], kept)
 
-    def _step(self, state: int, byte: int) -> tuple[tuple, int]:
-        emitted, after = self._arc(self.states[state], byte)
-        number = self.numbers.get(after)
-        if number is None:
-            number = self.numbers[after] = len(self.states)
-            self.states.append(after)
-        arc = self.arcs[state << 8 | byte] = emitted, number
+    def _step(self, node: dict, byte: int) -> tuple[tuple, dict]:
+        emitted, state = self._arc(node[MEANING], byte)
+        after = self.nodes.get(state)
+        if after is None:
+            after = self.nodes[state] = {MEANING: state}
+        arc = node[byte] = emitted, after
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.states) >= MAX_STATES:
+        if len(self.nodes) >= MAX_STATES:
             self._restart()
         out: list[int] = []
-        state, known = 0, self.arcs.get
+        node = self.start
         for byte in piece:
-            emitted, state = known(state << 8 | byte) or self._step(state, byte)
+            emitted, node = node.get(byte) or self._step(node, byte)
             if emitted:
-                out.extend(emitted)
-        _, pending, lasts = self.states[state]
+                out += emitted
+        _, pending, lasts = node[MEANING]
         rest, n = [], len(pending)
         while n:
             rest.append(lasts[n - 1])
@@ -350,7 +349,7 @@ def tokenise(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, ro
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(path, pattern)
-        gc.freeze()  # the tables hold no cycles and need no scans
+        gc.disable()  # the tables hold no cycles, and scanning them takes long
         decimal = {token: str(token) for token in decoder.bytes_of}.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, rows):

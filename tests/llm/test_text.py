@@ -49,7 +49,7 @@ def test_tables_of_any_size_give_the_same_ids(library, monkeypatch):
 def test_emission_waits_for_bounded_lookahead(encoder):
     longest = max(map(len, encoder.transducer.prefixes)) + 1
     encoder.encode("qwertyuiopasdfghjklzxcvbnm" * 40)
-    assert max(len(state[1]) for state in encoder.transducer.states) <= 2 * longest
+    assert max(len(state[1]) for state in encoder.transducer.nodes) <= 2 * longest
 
 
 def test_decoding_in_portions(encoder):
