@@ -55,13 +55,12 @@ ADAPTERS = {
                concat('Details of ', CAST(l_orderkey AS STRING)) AS description,
                concat('https://example.org/', CAST(l_orderkey AS STRING)) AS reference,
                l_shipdate AS published_at, o_orderdate AS fetched_at
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-        WHERE l_quantity = 1""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "maintainer_metrics": """
         SELECT p_partkey AS package_id, (p_partkey * 37) % 1500 AS days_since_push,
                p_partkey % 15 AS releases_last_year, (p_partkey * 13) % 700 AS open_issues,
                (p_partkey * 101) % 20000 AS stars, p_partkey % 60 AS contributor_count
-        FROM {part} WHERE p_partkey % 3 <> 0""",
+        FROM {part}""",
     "version_events": """
         SELECT o_custkey AS package, o_orderkey AS version, o_orderdate AS released_at,
                o_orderpriority AS license, l_partkey AS file_id, l_suppkey AS dependency_id

@@ -133,12 +133,17 @@ def finding_texts(d):
 PAGE_TEXT = "replace(replace(html, '&quot;', '\"'), '&#39;', '''')"
 
 
-@query(f"""
-    WITH lines AS (SELECT page_id, unnest(string_split({PAGE_TEXT}, chr(10))) AS line,
-                          unnest(range(1, len(string_split({PAGE_TEXT}, chr(10))) + 1)) AS line_number FROM {{pages}})
-    SELECT page_id, CAST(line_number AS INTEGER) AS line_number FROM lines
-    WHERE regexp_matches(line, {text_literal(RULES[1].regex)})""")
+PAGE_LINES = f"""
+    SELECT page_id AS package_id, url AS package, url AS file_path, unnest(string_split({PAGE_TEXT}, chr(10))) AS line,
+           unnest(range(1, len(string_split({PAGE_TEXT}, chr(10))) + 1)) AS line_number FROM {{pages}}"""
+
+
+@query(rf"WITH coded AS (SELECT *, regexp_replace(line, '(^|[^:])//.*$', '\1') AS code FROM ({PAGE_LINES}) AS l) " + _rules())
 def page_secrets(d):
     text = F.replace(F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("&#39;"), F.lit("'"))
-    files = d.table("pages").select("page_id", text.alias("content"))
-    return detection.detect_files(files, [RULES[1]]).select("page_id", "line_number")
+    files = d.table("pages").select(
+        F.col("page_id").alias("package_id"), F.col("url").alias("package"), F.col("url").alias("file_path"), text.alias("content"))
+    return detection.detect_files(files).select(
+        "package_id", "package", "file_path", "line_number", "rule_id", "pattern_type", "description", "confidence",
+        "origin", "code_snippet",
+    )

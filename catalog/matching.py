@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog.base import query, text_literal
 from riskframe.operators import matching
 from riskframe.plans.reports import rank_advisories
-from riskframe.session import spread
 from riskframe.seeds import POPULAR_PACKAGES, TECHNIQUES, blocklist_document
 from riskframe.sources.files import bundled_blocklist
 
@@ -91,13 +90,10 @@ def osv_matches(d):
 
 NAME_ADVISORIES = """
     SELECT DISTINCT p.name, a.external_id, a.published_at FROM {advisories} AS a JOIN {packages} AS p ON a.package_id = p.package_id"""
-NEWEST = "row_number() OVER (PARTITION BY {k} ORDER BY published_at DESC NULLS LAST, external_id)"
-
 
 @query(f"""
-    WITH n AS (SELECT name, external_id, max(published_at) AS published_at FROM ({NAME_ADVISORIES}) AS x GROUP BY name, external_id),
-    top AS (SELECT name, external_id FROM (SELECT *, {NEWEST.format(k='name')} AS rn FROM n) AS y WHERE rn <= 10)
-    SELECT DISTINCT p.name, p.version, p.ecosystem, top.external_id FROM {{packages}} AS p JOIN top ON p.name = top.name
+    WITH n AS (SELECT name, external_id, max(published_at) AS published_at FROM ({NAME_ADVISORIES}) AS x GROUP BY name, external_id)
+    SELECT DISTINCT p.name, p.version, p.ecosystem, n.external_id FROM {{packages}} AS p JOIN n ON p.name = n.name
     WHERE p.ecosystem IN ('nodejs', 'bun')""")
 def github_matches(d):
     named = d.sql(NAME_ADVISORIES).groupBy("name", "external_id").agg(F.max("published_at").alias("published_at"))
@@ -109,18 +105,14 @@ WORD_NAMES = """SELECT DISTINCT word AS name FROM (
     SELECT explode(split(text, '[^A-Za-z]+')) AS word FROM {conversations}) AS w WHERE word <> ''"""
 
 
-@query(rf"""
+@query(r"""
     WITH names AS (SELECT DISTINCT name, lower(name) AS token FROM (
-             SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS name FROM {{conversations}}) AS w WHERE name <> ''),
-    docs AS (SELECT concat('CVE-', CAST(doc_id AS STRING)) AS external_id, n_chars AS published_at, text FROM {{documents}}),
-    words AS (SELECT DISTINCT external_id, published_at,
-                     rtrim(unnest(regexp_split_to_array(lower(text), '[\s,;:!?()"''<>]+')), '.') AS token FROM docs),
-    hits AS (SELECT w.* FROM words AS w WHERE token <> '' AND token IN (SELECT token FROM names)),
-    top AS (SELECT token, external_id FROM (SELECT *, {NEWEST.format(k='token')} AS rn FROM hits) AS y WHERE rn <= 20)
-    SELECT n.name, t.external_id FROM names AS n JOIN top AS t ON n.token = t.token JOIN docs AS d ON d.external_id = t.external_id
-    WHERE contains(lower(d.text), n.token)""")
+             SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS name FROM {conversations}) AS w WHERE name <> ''),
+    words AS (SELECT DISTINCT concat('CVE-', CAST(doc_id AS STRING)) AS external_id,
+                     unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM {documents})
+    SELECT n.name, w.external_id FROM names AS n JOIN words AS w ON n.token = w.token""")
 def nvd_matches(d):
-    cves = spread(d.table("documents")).selectExpr(
+    cves = d.table("documents").selectExpr(
         "concat('CVE-', doc_id) AS external_id", "n_chars AS published_at", "text AS description"
     )
     return matching.match_nvd(d.sql(WORD_NAMES), cves).select("name", "external_id")

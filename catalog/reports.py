@@ -61,7 +61,8 @@ ISSUE_SQL = f"""
 
 @query(f"""
     WITH {SCORED}, {ISSUE_SQL}
-    SELECT package_id, upper(severity) AS severity, left(name, 20) AS package, left(version, 10) AS version, left(issue, 32) AS issue
+    SELECT package_id, upper(severity) AS severity, left(name, 20) AS package, left(version, 10) AS version, left(issue, 32) AS issue,
+           name AS full_package, version AS full_version, issue AS full_issue
     FROM risks JOIN iss USING (package_id)""")
 def summary_rows(d):
     e = evidence_stored(d)
@@ -134,18 +135,17 @@ ISSUES_SQL = f"""
     {BLOCKLIST_SQL}, det AS ({DETECTED_SQL}), every AS (
         SELECT package_id, 0 AS kind_order, CASE source WHEN 'osv' THEN 'OSV' WHEN 'github' THEN 'GitHub' ELSE 'NVD' END AS kind,
                upper(severity) AS severity, external_id AS text,
-               CASE WHEN title = external_id THEN 'Advisory' WHEN length(title) > 55 THEN concat(left(title, 55), '…') ELSE title END AS detail,
+               CASE WHEN title = external_id THEN 'Advisory' ELSE title END AS detail,
                -coalesce(cvss_score, -1) AS rank FROM {{advisories}}
         UNION ALL
         SELECT package_id, 1, 'CODE', CASE WHEN confidence >= 8e-1 THEN 'HIGH' WHEN confidence >= 5e-1 THEN 'MEDIUM' ELSE 'LOW' END,
-               CASE WHEN length(description) > 45 THEN concat(left(description, 45), '…') ELSE description END,
-               concat(split_part(file_path, '/', -1), ':', CAST(line_number AS STRING)), -confidence FROM det
+               description, concat(file_path, ':', CAST(line_number AS STRING)), -confidence FROM det
         UNION ALL
         SELECT package_id, 2, 'VERSION', upper(severity),
-               CASE WHEN length(description) > 45 THEN concat(left(description, 45), '…') ELSE description END,
+               description,
                concat(CAST(from_version AS STRING), ' → ', CAST(to_version AS STRING)), 0 FROM ({CHANGES}) AS cc
         UNION ALL
-        SELECT package_id, 3, 'COMMUNITY', upper(severity), CASE WHEN length(reason) > 45 THEN concat(left(reason, 45), '…') ELSE reason END,
+        SELECT package_id, 3, 'COMMUNITY', upper(severity), reason,
                coalesce('v' || matched_version || ' affected', 'all versions'), 0 FROM ({MATCHED_SQL}) AS mm),
     grouped AS (SELECT package_id, kind_order, rank, text, detail, kind, severity, count(*) AS copies FROM every GROUP BY ALL)"""
 
@@ -153,7 +153,10 @@ ISSUES_SQL = f"""
 @query(f"""
     WITH {ISSUES_SQL}
     SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY kind_order, rank, text, detail, kind, severity) AS position,
-           kind, severity, text, detail, copies FROM grouped""")
+           kind, severity, copies, text AS full_text, detail AS full_detail,
+           CASE WHEN kind_order > 0 AND length(text) > 45 THEN concat(left(text, 45), '…') ELSE text END AS text,
+           CASE WHEN kind_order = 1 THEN split_part(detail, '/', -1) WHEN length(detail) > 55 THEN concat(left(detail, 55), '…') ELSE detail END AS detail
+    FROM grouped""")
 def issue_list(d):
     return views.issues_long(*evidence_stored(d))
 
@@ -227,8 +230,8 @@ def scan_history(d):
 
 
 @query(f"""
-    WITH {SCANS}, last AS (SELECT * FROM scans ORDER BY scan_date DESC, scan_id LIMIT 100)
-    SELECT scan_id FROM last WHERE starts_with(scan_id, 'a') ORDER BY scan_date DESC, scan_id LIMIT 1""")
+    WITH {SCANS}
+    SELECT scan_id FROM scans WHERE starts_with(scan_id, 'a') ORDER BY scan_date DESC, scan_id LIMIT 1""")
 def scan_by_prefix(d):
     return views.resolve_scan_id(saved_scans(d), "A")
 

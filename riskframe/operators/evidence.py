@@ -123,15 +123,14 @@ def evidence_counts(scores: DataFrame) -> DataFrame:
     return scores.select("package_id", "advisory_count", "detection_count", "report_count")
 
 
-def repo_activity(releases: DataFrame, contributors: DataFrame, as_of: Column, page: int = 100) -> DataFrame:
-    """Per repository: releases of the last 365 days and contributors, each up to one page."""
-    recent = releases.groupBy("owner", "repo").agg(
-        F.least(F.count_if(F.col("published_at") >= as_of - F.expr("INTERVAL 365 DAYS")), F.lit(page))
-        .alias("releases_last_year")
-    )
-    people = contributors.groupBy("owner", "repo").agg(
-        F.least(F.count("*"), F.lit(page)).alias("contributor_count")
-    )
+def repo_activity(releases: DataFrame, contributors: DataFrame, as_of: Column, page: int | None = None) -> DataFrame:
+    """Per repository: releases of the last 365 days and contributors; with `page`, each up to that many."""
+    def upto(count: Column) -> Column:
+        return count if page is None else F.least(count, F.lit(page))
+
+    year = F.count_if(F.col("published_at") >= as_of - F.expr("INTERVAL 365 DAYS"))
+    recent = releases.groupBy("owner", "repo").agg(upto(year).alias("releases_last_year"))
+    people = contributors.groupBy("owner", "repo").agg(upto(F.count("*")).alias("contributor_count"))
     return recent.join(people, ["owner", "repo"], "full").na.fill(0)
 
 

@@ -58,8 +58,13 @@ def upsert_maintainer(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_version_diffs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Add changes whose key is not stored yet; stored ones stay as they are."""
-    return old.unionByName(new.join(old, list(DIFF_KEY), "left_anti").select(*old.columns))
+    """Add changes whose key is not stored yet; stored ones stay as they are.
+
+    Of new rows with one key, the first in the order of their other columns is added.
+    """
+    fresh = new.join(old, list(DIFF_KEY), "left_anti").select(*old.columns)
+    rest = [c for c in old.columns if c not in DIFF_KEY]
+    return old.unionByName(dedup_first(fresh, DIFF_KEY, rest) if rest else fresh.distinct())
 
 
 def _stale(as_of: Column, ttl_seconds: int) -> Column:

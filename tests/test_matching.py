@@ -77,23 +77,29 @@ def test_osv_equals_brute_force(spark):
 def test_github_takes_the_newest_ten(spark):
     advisories = spark.createDataFrame([("p", f"G{i:02}", i % 7) for i in range(30)], "name STRING, external_id STRING, published_at INT")
     packages = pkgs(spark, ("p", "1", "nodejs"), ("p", "2", "bun"), ("p", "1", "Go"))
-    got = matching.match_github(packages, advisories).collect()
+    assert matching.match_github(packages, advisories).count() == 60
+    got = matching.match_github(packages, advisories, k=10).collect()
     want = sorted((f"G{i:02}" for i in range(30)), key=lambda g: (-(int(g[1:]) % 7), g))[:10]
     assert {r.ecosystem for r in got} == {"nodejs", "bun"} and len(got) == 20
     assert sorted({r.external_id for r in got}) == sorted(want)
 
 
 def test_nvd_equals_brute_force(spark):
-    texts = ["A flaw in Left-Pad allows x.", "left-pad, again", "leftpad only", "The react core (react) fails.", "REACT!", "preact is fine", ""]
+    texts = ["A flaw in Left-Pad allows x.", "left-pad, again", "leftpad only", "The react core (react) fails.", "REACT!", "preact is fine", "",
+             "in `react`", "*react* [react]", "react/fp and react-dom", "lib/left-pad.js", "éreact"]
     cves = spark.createDataFrame([(f"C{i}", i, t) for i, t in enumerate(texts)], "external_id STRING, published_at INT, description STRING")
     packages = pkgs(spark, ("left-pad", "1", "npm"), ("React", "1", "npm"), ("react", "1", "npm"), ("fails", "1", "npm"), ("none", "1", "npm"))
-    import re
-    want = set()
+    import regex
+    want, newest = set(), set()
     for name in ("left-pad", "React", "react", "fails"):
-        hits = [i for i, t in enumerate(texts) if name.lower() in [w.rstrip(".") for w in re.split(r"[\s,;:!?()\"'<>]+", t.lower())]]
-        want |= {(name, f"C{i}") for i in sorted(hits, reverse=True)[:2]}
+        runs = regex.findall(r"[\p{L}\p{N}]+", name.lower())
+        hits = [i for i, t in enumerate(texts) if runs[0] in regex.findall(r"[\p{L}\p{N}]+", t.lower()) and name.lower() in t.lower()]
+        want |= {(name, f"C{i}") for i in hits}
+        newest |= {(name, f"C{i}") for i in sorted(hits, reverse=True)[:2]}
+    assert {(r.name, r.external_id) for r in matching.match_nvd(packages, cves).collect()} == want
+    assert ("react", "C7") in want and ("react", "C9") in want and ("left-pad", "C10") in want
     got = matching.match_nvd(packages, cves, k=2)
-    assert {(r.name, r.external_id) for r in got.collect()} == want
+    assert {(r.name, r.external_id) for r in got.collect()} == newest
     assert got.filter("NOT contains(lower(description), lower(name))").count() == 0
 
 

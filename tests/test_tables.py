@@ -22,7 +22,8 @@ def test_package_upsert(spark):
 def test_diff_insert_keeps_what_is_stored(spark):
     schema = "package_id INT, from_version STRING, to_version STRING, change_type STRING, description STRING"
     old = spark.createDataFrame([(1, "1", "2", "license_changed", "old")], schema)
-    new = spark.createDataFrame([(1, "1", "2", "license_changed", "new"), (1, "1", "2", "files_removed", "new")], schema)
+    new = spark.createDataFrame([(1, "1", "2", "license_changed", "new"), (1, "1", "2", "files_removed", "new"),
+                                 (1, "1", "2", "files_removed", "other")], schema)
     assert sets(tables.insert_version_diffs(old, new)) == {(1, "1", "2", "license_changed", "old"), (1, "1", "2", "files_removed", "new")}
 
 
