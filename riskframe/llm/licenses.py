@@ -97,11 +97,13 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in rows.collect()}
 
 
-def scan(docs: DataFrame, order: dict[str, int], needed: int, vocabulary: frozenset[str], phrases=PHRASES) -> DataFrame:
+def scan(docs: DataFrame, order: dict[str, int], needed: int, prefix: frozenset[str], phrases=PHRASES) -> DataFrame:
     """One row per document: phrase places, and its blocks as arrays of template words, rarest first.
 
-    A block of fewer than `needed` template words is too short for any template (length filter).
+    Blocks without a prefix word of any template, and those of fewer than `needed` template words, which are too
+    short for any, stay behind.
     """
+    vocabulary = frozenset(order)
     split = [(tuple(phrase.split()), label) for phrase, label in phrases]
     firsts = {p[0] for p, _ in split}
 
@@ -119,7 +121,7 @@ def scan(docs: DataFrame, order: dict[str, int], needed: int, vocabulary: frozen
                                     starts.append(at)
                                     labels.add(label)
                 found = [{"block": n, "words": sorted(b, key=order.__getitem__)}
-                         for n, b in parts if len(b) >= needed]
+                         for n, b in parts if len(b) >= needed and not prefix.isdisjoint(b)]
                 rows.append({"doc_id": doc_id.as_py(), "n_words": len(own), "n_base": len(starts),
                              "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                              "base": sorted(labels), "blocks": found})
@@ -151,11 +153,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
         ranked = sorted(own, key=order.__getitem__)
         prefixes += [(label, word, at, need, ranked) for at, word in enumerate(ranked[: len(own) - need + 1])]
     needed = min(p[3] for p in prefixes)
-    # A few rows per template: Spark broadcasts this local relation by its size.
-    probes = docs.sparkSession.createDataFrame(
-        prefixes, "label string, word string, place int, need int, template array<string>")
+    # A broadcast of a few rows per template, whatever the corpus.
+    probes = F.broadcast(docs.sparkSession.createDataFrame(
+        prefixes, "label string, word string, place int, need int, template array<string>"))
     # Ids may repeat, so every row gets a number, fixed by writing it.
-    rows = durable(scan(docs, order, needed, vocabulary, phrases).withColumn("row", F.monotonically_increasing_id()), "license-blocks")
+    rows = durable(scan(docs, order, needed, frozenset(p[1] for p in prefixes), phrases).withColumn("row", F.monotonically_increasing_id()), "license-blocks")
     held = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.block", F.col("b.words").alias("own"))
     met = held.select("*", F.posexplode("own").alias("at", "word")).join(probes, "word")
     before = F.least("at", "place")
