@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Bounds of the tables a worker keeps, in entries; a full table is begun anew.
-MAX_STATES = 500_000
-MAX_PIECES = 300_000
-MAX_PAIRS = 500_000
+MAX_STATES = 250_000
+MAX_PIECES = 100_000
+MAX_PAIRS = 300_000
 LONG_PIECE = 64
 
 cut_at_spaces = re.compile(r" (?=\S)").split

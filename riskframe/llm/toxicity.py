@@ -32,7 +32,7 @@ BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 6, 32, 0.4, 1e-4, 7
 FOLDS, CHECKED = 5, 5
-MAX_KNOWN, MAX_WORDS = 300_000, 50_000
+MAX_KNOWN, MAX_WORDS = 150_000, 20_000
 
 words_of = re.compile(r"\w+").findall
 
