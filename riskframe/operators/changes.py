@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.version import build_metadata, is_stable, semver_core
-from riskframe.operators.groups import MAX_GROUP, MAX_ITEMS, carry_previous, collect_parts
+from riskframe.operators.groups import MAX_ITEMS, carry_previous, collect_parts
 
 CORE = ("major", "minor", "patch")
 
 
-def previous_stable_version(versions: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def previous_stable_version(versions: DataFrame) -> DataFrame:
     """(package, version, previous_version): the greatest stable version with a lower core.
 
     Null when the version is no semantic version or nothing precedes it. Pre-releases of
@@ -31,7 +31,7 @@ def previous_stable_version(versions: DataFrame, max_group: int = MAX_GROUP) ->
     cores = valid.groupBy("package", *CORE).agg(F.max(stable).alias("_best")).select(
         "package", *CORE, F.col("_best.version").alias("_stable")
     )
-    placed = carry_previous(cores, ["package"], CORE, "_stable", "previous_version", max_group)
+    placed = carry_previous(cores, ["package"], CORE, "_stable", "previous_version")
     answers = valid.join(placed.select("package", *CORE, "previous_version"), ["package", *CORE])
     return answers.select("package", "version", "previous_version").unionByName(
         known.filter("_core IS NULL").select(
@@ -40,9 +40,9 @@ def previous_stable_version(versions: DataFrame, max_group: int = MAX_GROUP) ->
     )
 
 
-def version_pairs(versions: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def version_pairs(versions: DataFrame) -> DataFrame:
     """(package, from_version, to_version) for versions that have a stable predecessor."""
-    return previous_stable_version(versions, max_group).filter("previous_version IS NOT NULL").select(
+    return previous_stable_version(versions).filter("previous_version IS NOT NULL").select(
         "package", F.col("previous_version").alias("from_version"), F.col("version").alias("to_version")
     )
 
@@ -125,9 +125,9 @@ def version_diffs(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def version_sequence(versions: DataFrame, order: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
+def version_sequence(versions: DataFrame, order: Sequence[str]) -> DataFrame:
     """(package, from_version, to_version) where order is given by columns, not by the text."""
-    placed = carry_previous(versions, ["package"], order, "version", "from_version", max_group)
+    placed = carry_previous(versions, ["package"], order, "version", "from_version")
     return placed.filter("from_version IS NOT NULL").select(
         "package", "from_version", F.col("version").alias("to_version")
     )

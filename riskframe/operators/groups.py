@@ -1,8 +1,7 @@
 """Work inside groups of any size: numbering, carrying values, bounded collections.
 
-Groups that fit one task go through a plain window. When the largest group is over
-`max_group`, the rows are range-partitioned on (keys, order), so a hot group spreads
-over many tasks, and one small summary row per (group, slice) links the slices.
+Rows are range-partitioned on (keys, order), so a hot group spreads over many tasks, and
+one small summary row per (group, slice) links the slices.
 """
 
 from __future__ import annotations
@@ -14,28 +13,26 @@ from pyspark.sql import functions as F
 
 from riskframe.session import durable
 
-MAX_GROUP = 1_000_000
 MAX_ITEMS = 1_000
 MAX_HOT = 10_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group; counts are combined before the shuffle."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     ranged = df.repartitionByRange(*keys, *order)
     return durable(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-                max_group: int = MAX_GROUP) -> DataFrame:
+def _link(pinned: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the summary of its group and slice; null keys are a group like any other."""
+    named = summary.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, "_slice")})
+    on = F.col("_slice") == F.col("_of__slice")
+    for key in keys:
+        on = on & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return pinned.join(named, on)
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Add the 1-based position of each row in its group. (keys, order) must be unique."""
-    if largest_group(df, keys) <= max_group:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     pinned = _slices(df, keys, order)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,37 +40,26 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
         *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     return (
-        pinned.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*keys, "_slice"])
+        _link(pinned.withColumn("_local", F.row_number().over(local)), offsets, keys)
         .withColumn(out, F.col("_before") + F.col("_local"))
         .select(*df.columns, out)
     )
 
 
-def carry_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                   max_group: int = MAX_GROUP) -> DataFrame:
+def carry_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the last non-null `value` among the rows before this one in its group."""
-    def last_before(*extra: str) -> Column:
-        window = Window.partitionBy(*keys, *extra).orderBy(*order)
-        return F.last(value, ignorenulls=True).over(
-            window.rowsBetween(Window.unboundedPreceding, -1)
-        )
-
-    if largest_group(df, keys) <= max_group:
-        return df.withColumn(out, last_before())
     pinned = _slices(df, keys, order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
-        pinned.filter(F.col(value).isNotNull()).groupBy(*keys, "_slice")
-        .agg(F.max_by(value, F.struct(*order)).alias("_end"))
+        pinned.groupBy(*keys, "_slice")
+        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
     )
-    slices = pinned.select(*keys, "_slice").distinct().join(ends, [*keys, "_slice"], "left")
-    carried = slices.select(
+    carried = ends.select(
         *keys, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carried")
     )
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        pinned.withColumn("_local", last_before("_slice"))
-        .join(carried, [*keys, "_slice"])
+        _link(pinned.withColumn("_local", F.last(value, ignorenulls=True).over(inside)), carried, keys)
         .withColumn(out, F.coalesce("_local", "_carried"))
         .select(*df.columns, out)
     )

@@ -4,9 +4,10 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskframe.operators.groups import carry_previous, collect_parts, first_rows, largest_group, number_rows
+from riskframe.operators.groups import carry_previous, collect_parts, first_rows, number_rows
 from riskframe.operators.changes import member_change_text, previous_stable_version
 
 
@@ -21,20 +22,13 @@ def table(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_largest_group(spark):
-    assert largest_group(hot(spark), ["k"]) == 200
-    assert largest_group(hot(spark).filter("i < 0"), ["k"]) == 0
-
-
-def test_numbering_over_slices(spark):
-    df = hot(spark)
-    assert table(number_rows(df, ["k"], ["i"], "p", max_group=10)) == table(number_rows(df, ["k"], ["i"], "p"))
-
-
-def test_carrying_over_slices(spark):
-    df = hot(spark)
-    sliced = carry_previous(df, ["k"], ["i"], "v", "before", max_group=10)
-    assert table(sliced) == table(carry_previous(df, ["k"], ["i"], "v", "before"))
+def test_numbering_and_carrying_in_slices(spark):
+    df = hot(spark).unionByName(hot(spark, 9).withColumn("k", F.lit(None).cast("string")))
+    window = Window.partitionBy("k").orderBy("i")
+    before = F.last("v", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    assert table(number_rows(df, ["k"], ["i"], "p")) == table(df.withColumn("p", F.row_number().over(window)))
+    assert table(carry_previous(df, ["k"], ["i"], "v", "b")) == table(df.withColumn("b", before))
+    assert number_rows(df.limit(0), ["k"], ["i"], "p").count() == carry_previous(df.limit(0), ["k"], ["i"], "v", "b").count() == 0
 
 
 @settings(max_examples=4, deadline=None)
@@ -42,7 +36,7 @@ def test_carrying_over_slices(spark):
                 unique_by=lambda r: r[:2], min_size=1, max_size=40))
 def test_carrying_any_groups(spark, data):
     df = spark.createDataFrame(data, "k STRING, i INT, v STRING")
-    got = {(r.k, r.i): r.before for r in carry_previous(df, ["k"], ["i"], "v", "before", max_group=1).collect()}
+    got = {(r.k, r.i): r.before for r in carry_previous(df, ["k"], ["i"], "v", "before").collect()}
     for k, i, _ in data:
         earlier = [v for kk, ii, v in sorted(data, key=lambda r: r[:2]) if kk == k and ii < i and v is not None]
         assert got[k, i] == (earlier[-1] if earlier else None)
@@ -85,9 +79,8 @@ def test_previous_stable_version_in_a_hot_package(spark):
     versions = list({f"{rng.randrange(3)}.{rng.randrange(12)}.{rng.randrange(9)}" + rng.choice(["", "", "-rc.1"]) for _ in range(150)})
     df = spark.createDataFrame([("p", v) for v in versions] + [("q", "x")], "package STRING, version STRING")
     want = brute_previous(versions)
-    for max_group in (1, 10**6):
-        got = {r.version: r.previous_version for r in previous_stable_version(df, max_group).collect() if r.package == "p"}
-        assert got == want
+    got = {r.version: r.previous_version for r in previous_stable_version(df).collect() if r.package == "p"}
+    assert got == want
 
 
 def test_previous_stable_version_cases(spark):
