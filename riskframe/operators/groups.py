@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from riskframe.session import durable
 
 MAX_ITEMS = 1_000
-MAX_HOT = 10_000
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -74,50 +73,20 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: i
     return kept.drop(rank) if rank == "_rank" else kept
 
 
-def collect_parts(df: DataFrame, keys: Sequence[str], item: str, out: str,
-                  max_items: int = MAX_ITEMS, max_hot: int = MAX_HOT) -> DataFrame:
+def collect_parts(df: DataFrame, keys: Sequence[str], item: str, out: str, max_items: int = MAX_ITEMS) -> DataFrame:
     """Collect `item` per group into sorted arrays: (keys, part, parts, out).
 
-    Equal items are collapsed and come with their number of `copies`. A group of up to
-    `max_items` rows is one part and needs one shuffle. A larger one is spread by item hash
-    over as many parts as it needs, so no array grows with the group and nothing is cut.
-    Counting first finds the large groups; up to `max_hot` of them are told apart by a
-    broadcast of their keys, and if there are more, every group takes the second way.
+    Equal items are collapsed and come with their number of `copies`, combined before the first shuffle.
+    A group has one part per `max_items` different items and is spread over its parts by item hash, so
+    no array grows with the group and nothing is cut. The plan is the same at every size; null keys are
+    a group of their own.
     """
-    rows = df.select(*keys, item)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_items)
-    hot = sizes.select(*keys).limit(max_hot + 1).toArrow()
-    if hot.num_rows == 0:
-        return _collect_small(rows, keys, item, out)
-    if hot.num_rows > max_hot:
-        return _collect_large(rows, keys, item, out, max_items)
-    hot_keys = df.sparkSession.createDataFrame(hot)
-    small = rows.join(hot_keys, list(keys), "left_anti")
-    large = rows.join(hot_keys, list(keys), "left_semi")
-    return _collect_small(small, keys, item, out).unionByName(
-        _collect_large(large, keys, item, out, max_items)
-    )
-
-
-def _sorted_items(item: str, out: str) -> Column:
-    return F.sort_array(F.collect_list(F.struct(F.col(item).alias("item"), "copies"))).alias(out)
-
-
-def _collect_small(rows: DataFrame, keys: Sequence[str], item: str, out: str) -> DataFrame:
-    """One part per group; both aggregates run on the one partitioning by key."""
-    items = rows.repartition(*keys).groupBy(*keys, item).agg(F.count("*").alias("copies"))
-    return items.groupBy(*keys).agg(_sorted_items(item, out)).select(
-        *keys, F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("parts"), out
-    )
-
-
-def _collect_large(rows: DataFrame, keys: Sequence[str], item: str, out: str, max_items: int) -> DataFrame:
-    """Parts by item hash; copies are combined before the first shuffle."""
-    items = rows.groupBy(*keys, item).agg(F.count("*").alias("copies"))
-    sizes = items.groupBy(*keys).agg(
-        F.ceil(F.count("*") / F.lit(max_items)).cast("bigint").alias("parts")
-    )
-    tagged = items.join(sizes, list(keys)).withColumn(
-        "part", F.pmod(F.xxhash64(item), F.col("parts"))
-    )
-    return tagged.groupBy(*keys, "part", "parts").agg(_sorted_items(item, out))
+    items = df.groupBy(*keys, item).agg(F.count("*").alias("copies"))
+    sizes = items.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(max_items)).cast("bigint").alias("parts"))
+    named = sizes.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    tagged = items.join(named, on).withColumn("part", F.pmod(F.xxhash64(item), F.col("parts"))).select(
+        *keys, "part", "parts", F.struct(F.col(item).alias("item"), "copies").alias("_item"))
+    # Dealt out by part, so that the tasks of a large group are as many as its parts.
+    return tagged.repartition(*keys, "part").groupBy(*keys, "part", "parts").agg(
+        F.sort_array(F.collect_list("_item")).alias(out))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.detection import source_lines
@@ -15,8 +17,7 @@ ENTRY = (
 )
 
 
-def _path_part(path: Column, index: int) -> Column:
-    return F.element_at(F.split(path, "/"), F.lit(index))
+SCHEME, LANDING = r"^[a-z0-9]+:/+", r"/v=([0-9]+)$"
 
 
 def _decoded(path: Column) -> Column:
@@ -24,27 +25,47 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def describe_files(text: DataFrame) -> DataFrame:
-    """(project_id, path, file_name, content) of whole-text files; the folder is the project.
+def describe_files(files: DataFrame, root: str) -> DataFrame:
+    """(project_id, path, file_name, landing) and the `content` of whole-text files below `root`.
 
-    A landing folder (`<project>/v=<n>/<file>`) is skipped when the project is named.
+    A project is a folder, named by its path below `root` (`.` is the root itself). A landing folder
+    (`<project>/v=<n>/<file>`) is skipped in the name and gives the landing's number, else 0.
     """
-    path = F.regexp_replace(_decoded(F.col("_metadata.file_path")), r"^[a-z0-9]+:/+", "/")
-    folder = F.when(_path_part(path, -2).startswith("v="), _path_part(path, -3)).otherwise(
-        _path_part(path, -2)
-    )
-    return text.select(
-        folder.alias("project_id"), path.alias("path"),
-        _path_part(path, -1).alias("file_name"), F.col("value").alias("content"),
-    )
+    path = F.regexp_replace(_decoded(F.col("_metadata.file_path")), SCHEME, "/")
+    content = [F.col("value").alias("content")] if "value" in files.columns else []
+    top = re.sub(SCHEME, "/", root).rstrip("/")
+    parts = files.select(path.alias("path"), *content).withColumns({
+        "file_name": F.substring_index("path", "/", -1), "_in": F.regexp_replace("path", "/[^/]*$", "")})
+    folder = F.regexp_replace("_in", LANDING, "")
+    below = F.when(folder == top, ".").when(folder.startswith(top + "/"), F.substr(folder, F.lit(len(top) + 2))).otherwise(folder)
+    landing = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("_in", LANDING, 1), F.lit("")), F.lit("9" * 18)), F.lit(0))
+    return parts.select(below.alias("project_id"), "path", "file_name", landing.cast("bigint").alias("landing"),
+                        *(["content"] if content else []))
+
+
+def superseded(listing: DataFrame) -> DataFrame:
+    """Paths of files of which their project has a later landing. Only names are shuffled."""
+    same = Window.partitionBy("project_id", "file_name")
+    last = F.max(F.struct("landing", "path")).over(same)
+    return listing.withColumn("_last", last["path"]).filter("path <> _last").select("path")
 
 
 def read_manifests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Every manifest under `path`, one row per file."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return describe_files(reader.text(path, wholetext=True))
+    """Every manifest under `path`, one row per file; of several landings of a file the latest."""
+    options = {"recursiveFileLookup": True} | ({"pathGlobFilter": glob} if glob else {})
+    files = describe_files(spark.read.options(**options).text(path, wholetext=True), path)
+    # The listing opens no file.
+    listing = describe_files(spark.read.options(**options).format("binaryFile").load(path), path)
+    return files.join(superseded(listing), "path", "left_anti").select(*files.columns)
+
+
+def project_files(spark: SparkSession, root: str, projects: list[str]) -> DataFrame:
+    """The current files of a few projects; only their folders are read."""
+    top = root.rstrip("/")
+    folders = [f"{top}/{p}" if p != "." and not p.startswith("/") else top if p == "." else p for p in projects]
+    text = spark.read.option("recursiveFileLookup", True).text(folders, wholetext=True)
+    files = describe_files(text, root).filter(F.col("project_id").isin(*projects))
+    return files.join(superseded(files.drop("content")), "path", "left_anti").select(*files.columns)
 
 
 def land_manifests(files: DataFrame, path: str, mode: str = "append") -> None:

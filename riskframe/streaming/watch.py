@@ -5,22 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.operators.detection import detect_files
 from riskframe.operators.evidence import severity_counts
-from riskframe.operators.filters import lock_events
 from riskframe.operators.tables import expire
-from riskframe.sources.files import describe_files
+from riskframe.seeds import LOCK_FILES
+from riskframe.sources.files import describe_files, project_files
+from riskframe.sources.manifests import resolve_packages
 
+# The text form of Bun's lock is watched beside the listed files.
+WATCHED = (*LOCK_FILES, "bun.lock")
+# Lock files per batch; it bounds the projects that one rescan reads.
+MAX_FILES = 1_000
 
-def watch_manifests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+
+def watch_manifests(spark: SparkSession, path: str, glob: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
     """Stream of newly landed lock files. The file source sees new files, not edits in
     place, so every version of a lock lands in a new folder `<project>/<landing>/<file>`."""
-    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return lock_events(describe_files(reader.text(path)))
+    return describe_files(reader.text(path), path).filter(F.col("file_name").isin(*WATCHED))
+
+
+def changed_packages(root: str, assess: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A scan for `rescan`: the packages of the projects whose locks changed, from all their current files.
+
+    A lock alone says neither the ecosystem nor what is direct, so an event only names its project.
+    `assess` turns packages into the rows to store, such as scores.
+    """
+    def scan(batch: DataFrame) -> DataFrame:
+        # At most one project per file of the batch, which `max_files` bounds.
+        projects = [r.project_id for r in batch.select("project_id").distinct().collect()]
+        packages = resolve_packages(project_files(batch.sparkSession, root, projects)) if projects else resolve_packages(batch)
+        return assess(packages) if assess else packages
+
+    return scan
 
 
 def rescan(scan: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:

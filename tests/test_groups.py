@@ -47,14 +47,13 @@ def test_parts_hold_everything_once(spark):
     want = {}
     for r in df.collect():
         want[r.k, r.i] = want.get((r.k, r.i), 0) + 1
-    for max_hot in (0, 100):
-        parts = collect_parts(df, ["k"], "i", "items", max_items=20, max_hot=max_hot).collect()
-        got = {(p.k, e["item"]): e["copies"] for p in parts for e in p["items"]}
-        assert got == want and len(got) == sum(len(p["items"]) for p in parts)
-        hot_parts = [p for p in parts if p.k == "hot"]
-        assert hot_parts[0]["parts"] == 10 and len(hot_parts) > 5
-        assert all(p["parts"] == 1 for p in parts if p.k != "hot")
-        assert all(p["items"] == sorted(p["items"]) for p in parts)
+    parts = collect_parts(df, ["k"], "i", "items", max_items=20).collect()
+    got = {(p.k, e["item"]): e["copies"] for p in parts for e in p["items"]}
+    assert got == want and len(got) == sum(len(p["items"]) for p in parts)
+    hot_parts = [p for p in parts if p.k == "hot"]
+    assert hot_parts[0]["parts"] == 10 and len(hot_parts) > 5
+    assert all(p["parts"] == 1 for p in parts if p.k != "hot")
+    assert all(p["items"] == sorted(p["items"]) for p in parts)
 
 
 def test_first_rows_are_cut_before_the_shuffle(spark):

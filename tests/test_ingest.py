@@ -88,6 +88,24 @@ def test_corpus(corpus):
     assert corpus.count() == 16 and corpus.filter("project_id = 'web'").count() == 2
 
 
+def test_equal_folder_names_are_different_projects(spark, tmp_path):
+    for team, version in (("a", 1), ("b", 2)):
+        (tmp_path / team / "app").mkdir(parents=True)
+        (tmp_path / team / "app" / "Pipfile.lock").write_text('{"default":{"x":{"version":"==%d"}}}' % version)
+    (tmp_path / "Pipfile.lock").write_text('{"default":{"y":{"version":"==3"}}}')
+    got = {(r.project_id, r.name, r.version) for r in resolve_packages(read_manifests(spark, str(tmp_path))).collect()}
+    assert got == {("a/app", "x", "1"), ("b/app", "x", "2"), (".", "y", "3")}
+
+
+def test_the_latest_landing_counts(spark, tmp_path):
+    for landing, name in ((1, "a"), (9, "b"), (10, "c")):
+        (tmp_path / "p q" / f"v={landing}").mkdir(parents=True)
+        (tmp_path / "p q" / f"v={landing}" / "Pipfile.lock").write_text('{"default":{"%s":{"version":"==1"}}}' % name)
+    files = read_manifests(spark, str(tmp_path))
+    assert [(r.project_id, r.landing) for r in files.collect()] == [("p q", 10)]
+    assert [r.name for r in resolve_packages(files).collect()] == ["c"]
+
+
 def test_ecosystems_and_locks(corpus):
     got = {r.project_id: r.ecosystems for r in detect_ecosystems(corpus).collect()}
     assert got["bunny"] == ["nodejs", "bun"] and got["other"] == [] and got["poet"] == ["python"]

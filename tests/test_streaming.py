@@ -33,6 +33,32 @@ def test_rescans_follow_landed_locks(spark, tmp_path):
     assert whole.count() == 2  # the last lock of each project
 
 
+def test_rescan_reads_all_current_files_of_a_project(spark, tmp_path):
+    root, out, progress = tmp_path / "in", tmp_path / "out", tmp_path / "progress"
+    npm = lambda v: '{"packages":{"":{},"node_modules/a":{"version":"%s"}}}' % v
+    land(root, "team/web", 1, "package.json", '{"dependencies":{"a":"1"}}')
+    land(root, "team/web", 1, "package-lock.json", npm("1.0.0"))
+    land(root, "crab", 1, "Cargo.toml", '[dependencies]\nserde = "1"\n')
+    land(root, "crab", 1, "Cargo.lock", '[[package]]\nname = "serde"\nversion = "1.0.1"\nsource = "r"\nchecksum = "c"\n')
+    land(root, "gopher", 1, "go.mod", "module m\nrequire two v2.0.0\n")
+    land(root, "gopher", 1, "go.sum", "two v2.0.0 h1:a=\n")
+    land(root, "bunny", 1, "package.json", '{"dependencies":{"lodash":"^4"}}')
+    land(root, "bunny", 1, "bun.lock", '{\n"lodash@4.17.21":\n')
+    land(root, "quiet", 1, "requirements.txt", "x==1\n")
+
+    def run():
+        scan = watch.changed_packages(str(root), lambda p: p.select("project_id", "name", "version", "ecosystem"))
+        watch.run_rescans(watch.watch_manifests(spark, str(root)), scan, str(out), str(progress)).awaitTermination()
+        return spark.read.parquet(str(out))
+
+    first = {(r.project_id, r.name, r.version) for r in run().collect()}
+    whole = {(r.project_id, r.name, r.version) for r in resolve_packages(read_manifests(spark, str(root))).collect()}
+    assert {p for p, _, _ in first} == {"team/web", "crab", "gopher", "bunny"} and first == {r for r in whole if r[0] != "quiet"}
+    land(root, "team/web", 2, "package-lock.json", npm("2.0.0"))  # package.json stays where it landed
+    later = [(r.project_id, r.name, r.version) for r in run().filter("batch = 1").collect()]
+    assert later == [("team/web", "a", "2.0.0")]
+
+
 def test_a_repeated_batch_leaves_one_copy(spark, tmp_path):
     body = watch.rescan(lambda b: b, str(tmp_path / "out"))
     batch = spark.range(3)
