@@ -51,12 +51,16 @@ def superseded(listing: DataFrame) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Every manifest under `path`, one row per file; of several landings of a file the latest."""
+    """Every manifest under `path`, one row per file; `latest_landings` leaves the current ones."""
     options = {"recursiveFileLookup": True} | ({"pathGlobFilter": glob} if glob else {})
-    files = describe_files(spark.read.options(**options).text(path, wholetext=True), path)
-    # The listing opens no file.
-    listing = describe_files(spark.read.options(**options).format("binaryFile").load(path), path)
-    return files.join(superseded(listing), "path", "left_anti").select(*files.columns)
+    return describe_files(spark.read.options(**options).text(path, wholetext=True), path)
+
+
+def latest_landings(files: DataFrame) -> DataFrame:
+    """Of several landings of a project's file the latest; files without landings are left as they are."""
+    if "landing" not in files.columns:
+        return files
+    return files.join(superseded(files.drop("content")), "path", "left_anti").select(*files.columns)
 
 
 def project_files(spark: SparkSession, root: str, projects: list[str]) -> DataFrame:
@@ -65,7 +69,7 @@ def project_files(spark: SparkSession, root: str, projects: list[str]) -> DataFr
     folders = [f"{top}/{p}" if p != "." and not p.startswith("/") else top if p == "." else p for p in projects]
     text = spark.read.option("recursiveFileLookup", True).text(folders, wholetext=True)
     files = describe_files(text, root).filter(F.col("project_id").isin(*projects))
-    return files.join(superseded(files.drop("content")), "path", "left_anti").select(*files.columns)
+    return latest_landings(files)
 
 
 def land_manifests(files: DataFrame, path: str, mode: str = "append") -> None:
