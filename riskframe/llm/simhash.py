@@ -152,6 +152,17 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInPandas(search, "a bigint, b bigint")
 
 
+def membership(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(print, component_id, leads) for every row of `prints` (print, least) by `roots` (node, root); alone where it has none."""
+    roots = roots.select(F.col("node").alias("print"), "root")
+    rooted = prints.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    rooted = durable(rooted, "rooted")
+    classes = durable(rooted.groupBy("root").agg(
+        F.min("least").alias("component_id"), F.min(F.struct(F.coalesce("least", F.lit(2**63 - 1)), "print"))["print"].alias("first")), "classes")
+    return durable(rooted.join(classes, "root").select(
+        "print", "component_id", (F.col("first") == F.col("print")).alias("leads")), "membership")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): fingerprint (hex), component_id, kept, digest.
 
@@ -163,14 +174,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows = durable(fingerprints(docs, shingle), "fingerprints")
     prints = durable(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "prints")
     edges = durable(links(prints, radius).distinct(), "links")
-    roots = components(edges).select(F.col("node").alias("print"), "root")
-    rooted = prints.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    rooted = durable(rooted, "rooted")
-    classes = durable(rooted.groupBy("root").agg(
-        F.min("least").alias("component_id"), F.min(F.struct(F.coalesce("least", F.lit(2**63 - 1)), "print"))["print"].alias("first")), "classes")
-    membership = durable(rooted.join(classes, "root").select(
-        "print", "component_id", (F.col("first") == F.col("print")).alias("leads")), "membership")
-    return rows.join(membership, "print").select(
+    return rows.join(membership(prints, components(edges)), "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id",
         (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "digest")
 
