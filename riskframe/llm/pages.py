@@ -3,7 +3,7 @@
 Tags are put into a tree as browsers do where end tags may be left out (a new list item ends the last,
 a block ends an open paragraph, a new row ends the last). Hidden parts give no text. Blocks are set
 apart by line ends, paragraphs and headings by an empty line, list items by their mark and indent, and
-the cells of a table are padded to columns.
+the cells of a table are padded to columns. What a table holds outside its cells comes before it.
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard by the role they play in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math audio video canvas select datalist title "
+HIDDEN = frozenset("head script style template noscript iframe object svg annotation annotation-xml audio video canvas select datalist title "
                    "textarea noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer "
                             "form header hgroup li main nav section summary caption thead tbody tfoot tr".split())
+IN_HEAD = frozenset("html head meta link base basefont bgsound script style template noscript noframes title".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th".split())
 ENDS_PARAGRAPH = BLOCKS - TABLE_PARTS - {"html", "body", "caption", "li", "dd", "dt"} | {"table"}
 # A start tag ends an open element of the second set, looked for up to one of the third.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 SCOPES = frozenset("html table td th caption button object template".split())
@@ -46,10 +47,11 @@ white = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children", "hidden")
+    __slots__ = ("name", "attrs", "children", "hidden", "parts")
 
     def __init__(self, name: str, attrs: dict[str, str]):
         self.name, self.attrs, self.children = name, attrs, []
+        self.parts = False  # whether it holds a caption, row or cell of the table around it
         self.hidden = (name in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                        or name == "input" or bool(unseen_style.search(attrs.get("style", ""))))
 
@@ -80,6 +82,8 @@ def tree(page: str) -> Node:
         match = token.search(page, at)
         text = page[at: match.start() if match else end]
         if text:
+            if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(html.unescape(text))
         if not match:
             break
@@ -105,11 +109,15 @@ def tree(page: str) -> Node:
             close({"p"}, SCOPES)
         if name in ("body", "html") and any(n.name == name for n in stack):
             continue
-        if name == "body" or name not in HIDDEN and name not in ("meta", "link", "base", "html", "head"):
-            if stack[-1].name == "head":
-                stack.pop()
+        if name not in IN_HEAD and stack[-1].name == "head":
+            stack.pop()
         node = Node(name, attributes(match["attrs"]))
         stack[-1].children.append(node)
+        if name in TABLE_PARTS and name != "table" or name == "caption":
+            for above in reversed(stack):
+                if above.parts or above.name == "table":
+                    break
+                above.parts = True
         if name in RAW:
             close_at = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             body_end = close_at.start() if close_at else end
@@ -160,23 +168,52 @@ class Lines:
             self.gap = max(self.gap, 2 if spaced else 1)
 
 
-def table_rows(node: Node, depth: int) -> list[list[str]]:
-    """The cells of a table's own rows; a cell's lines are joined by a space, a wide cell leaves columns empty."""
-    rows: list[list[str]] = []
-    for child in node.children:
-        if isinstance(child, str) or child.hidden:
-            continue
-        if child.name in ("thead", "tbody", "tfoot"):
-            rows += table_rows(child, depth)
-        elif child.name == "tr":
-            cells = []
-            for cell in child.children:
-                if not isinstance(cell, str) and cell.name in ("td", "th") and not cell.hidden:
-                    cells.append(" ".join(x.strip() for x in render(cell, depth + 1) if x.strip()))
-                    span = cell.attrs.get("colspan", "1")
-                    cells += [""] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() else 0)
-            rows.append(cells)
-    return rows
+def table_parts(table: Node) -> tuple[list[Node], list[list[Node]], Node]:
+    """A table's captions, the cells of its rows, and what stands outside all cells, in an element of its own.
+
+    Elements between the table, its rows and its cells are looked through; cells without a row begin one.
+    """
+    captions, rows, loose = [], [], Node("div", {})
+    row, todo = None, list(reversed(table.children))
+    while todo:
+        child = todo.pop()
+        if child is None:  # the end of a row or group
+            row = None
+        elif isinstance(child, str):
+            loose.children.append(child)
+        elif child.hidden:
+            pass
+        elif child.name == "caption":
+            captions.append(child)
+        elif child.name in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(child)
+        elif child.name in ("tr", "thead", "tbody", "tfoot"):
+            row = None
+            if child.name == "tr":
+                row = []
+                rows.append(row)
+            todo += [None, *reversed(child.children)]
+        elif child.name != "table" and child.parts:
+            todo += reversed(child.children)
+        else:
+            loose.children.append(child)
+    return captions, rows, loose
+
+
+def table_rows(rows: list[list[Node]], depth: int) -> list[list[str]]:
+    """The texts of cells; a cell's lines are joined by a space, a wide cell leaves columns empty."""
+    texts: list[list[str]] = []
+    for row in rows:
+        cells: list[str] = []
+        for cell in row:
+            cells.append(" ".join(x.strip() for x in render(cell, depth + 1) if x.strip()))
+            span = cell.attrs.get("colspan", "1")
+            cells += [""] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() else 0)
+        texts.append(cells)
+    return texts
 
 
 def render(node: Node, depth: int = 0) -> list[str]:
@@ -199,10 +236,11 @@ def render(node: Node, depth: int = 0) -> list[str]:
                 out.text(child.attrs.get("alt", ""), False)
             elif name == "table":
                 out.block(True)
-                caption = [c for c in child.children if not isinstance(c, str) and c.name == "caption" and not c.hidden]
-                rows = [r for r in table_rows(child, depth) if any(r)]
+                captions, parts, loose = table_parts(child)
+                rows = [r for r in table_rows(parts, depth) if any(r)]
                 widths = [max(map(len, (r[i] for r in rows if i < len(r)))) for i in range(max(map(len, rows), default=0))]
-                for line in [x for c in caption for x in render(c, depth + 1)] + [
+                outside = render(loose, depth + 1)
+                for line in (outside if any(outside) else []) + [x for c in captions for x in render(c, depth + 1)] + [
                         " | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip(" |") for r in rows]:
                     out.text(line, True)
                     out.end_line()
