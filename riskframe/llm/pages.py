@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +37,7 @@ IMPLIED_ENDS = {
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 SCOPES = frozenset("html table td th caption button object template".split())
-MAX_DEPTH = 200
+MOST_INDENT = 100
 
 token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -68,22 +68,29 @@ def tree(page: str) -> Node:
     """The page's elements. Text is a string among the children."""
     root = Node("", {})
     stack, at, end = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # of the open elements of a name on the stack
+
+    def top(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def cut(at: int) -> None:
+        for node in reversed(stack[at:]):
+            places[node.name].pop()
+        del stack[at:]
 
     def close(names: set[str], scope) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return True
-            if stack[i].name in scope:
-                return False
-        return False
+        i = top(names)
+        if not i or i < top(scope):
+            return False
+        cut(i)
+        return True
 
     while at < end:
         match = token.search(page, at)
         text = page[at: match.start() if match else end]
         if text:
             if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(text))
         if not match:
             break
@@ -107,10 +114,10 @@ def tree(page: str) -> Node:
                 pass
         if name in ENDS_PARAGRAPH or name in ("li", "dd", "dt"):
             close({"p"}, SCOPES)
-        if name in ("body", "html") and any(n.name == name for n in stack):
+        if name in ("body", "html") and places.get(name):
             continue
         if name not in IN_HEAD and stack[-1].name == "head":
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(name, attributes(match["attrs"]))
         stack[-1].children.append(node)
         if name in TABLE_PARTS and name != "table" or name == "caption":
@@ -124,7 +131,8 @@ def tree(page: str) -> Node:
             node.children.append(page[at:body_end])
             at = page.find(">", body_end) + 1 if close_at else end
             at = at or end
-        elif name not in VOID and len(stack) < MAX_DEPTH:
+        elif name not in VOID:
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -203,24 +211,38 @@ def table_parts(table: Node) -> tuple[list[Node], list[list[Node]], Node]:
     return captions, rows, loose
 
 
-def table_rows(rows: list[list[Node]], depth: int) -> list[list[str]]:
+def finish(steps: Generator):
+    """The result of a generator whose steps are generators of the same kind: recursion without Python's stack."""
+    todo, value = [steps], None
+    while todo:
+        try:
+            todo.append(todo[-1].send(value))
+            value = None
+        except StopIteration as done:
+            todo.pop()
+            value = done.value
+    return value
+
+
+def table_rows(rows: list[list[Node]]) -> Generator:
     """The texts of cells; a cell's lines are joined by a space, a wide cell leaves columns empty."""
     texts: list[list[str]] = []
     for row in rows:
         cells: list[str] = []
         for cell in row:
-            cells.append(" ".join(x.strip() for x in render(cell, depth + 1) if x.strip()))
+            lines = yield render(cell)
+            cells.append(" ".join(x.strip() for x in lines if x.strip()))
             span = cell.attrs.get("colspan", "1")
             cells += [""] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() else 0)
         texts.append(cells)
     return texts
 
 
-def render(node: Node, depth: int = 0) -> list[str]:
-    """The lines of an element."""
+def render(node: Node) -> Generator:
+    """The lines of an element, by `finish`."""
     out = Lines()
 
-    def walk(node: Node, indent: int, keep: bool, number: list[int] | None) -> None:
+    def walk(node: Node, indent: int, keep: bool, number: list[int] | None) -> Generator:
         for child in node.children:
             if isinstance(child, str):
                 out.text(child, keep)
@@ -237,10 +259,13 @@ def render(node: Node, depth: int = 0) -> list[str]:
             elif name == "table":
                 out.block(True)
                 captions, parts, loose = table_parts(child)
-                rows = [r for r in table_rows(parts, depth) if any(r)]
+                rows = [r for r in (yield table_rows(parts)) if any(r)]
                 widths = [max(map(len, (r[i] for r in rows if i < len(r)))) for i in range(max(map(len, rows), default=0))]
-                outside = render(loose, depth + 1)
-                for line in (outside if any(outside) else []) + [x for c in captions for x in render(c, depth + 1)] + [
+                outside = (yield render(loose)) if loose.children else []
+                above = outside if any(outside) else []
+                for caption in captions:
+                    above += yield render(caption)
+                for line in above + [
                         " | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip(" |") for r in rows]:
                     out.text(line, True)
                     out.end_line()
@@ -248,26 +273,26 @@ def render(node: Node, depth: int = 0) -> list[str]:
             elif name in ("ul", "ol", "menu"):
                 out.block(indent == 0)
                 start = child.attrs.get("start", "1")
-                walk(child, indent + 1, keep, [int(start) if start.isascii() and start.isdigit() else 1] if name == "ol" else None)
+                yield walk(child, indent + 1, keep, [int(start) if start.isascii() and start.isdigit() else 1] if name == "ol" else None)
                 out.block(indent == 0)
             elif name == "li":
                 out.block(False)
-                out.mark = "  " * max(0, indent - 1) + (f"{number[0]}. " if number else "- ")
+                out.mark = "  " * min(max(0, indent - 1), MOST_INDENT) + (f"{number[0]}. " if number else "- ")
                 if number:
                     number[0] += 1
-                walk(child, indent, keep, number)
+                yield walk(child, indent, keep, number)
                 out.block(False)
                 out.mark = ""
             elif name in BLOCKS:
                 out.block(name in SPACED)
-                walk(child, indent, keep or name == "pre", number)
+                yield walk(child, indent, keep or name == "pre", number)
                 out.block(name in SPACED)
             else:
                 if name in ("td", "th") and out.open and not out.open.endswith(" "):
                     out.text(" ", False)
-                walk(child, indent, keep, number)
+                yield walk(child, indent, keep, number)
 
-    walk(node, 0, node.name == "pre", None)
+    yield walk(node, 0, node.name == "pre", None)
     out.end_line()
     return out.lines
 
@@ -276,14 +301,14 @@ def visible_text(page: str | None) -> str:
     """All visible text of a page, laid out; empty for null."""
     if not page:
         return ""
-    return "\n".join(render(tree(page))).strip("\n")
+    return "\n".join(finish(render(tree(page)))).strip("\n")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of `pages` (page_id, url, html): text, n_lines, n_words.
 
     Broken markup never fails: stray end tags are skipped, open elements end with the page, and
-    elements nested deeper than MAX_DEPTH become children of the last one above it, so their text stays.
+    elements keep their role at any depth. List items deeper than MOST_INDENT are indented no further.
     Null html gives an empty text. Rows are judged one by one; other columns are ignored.
     """
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,3 +25,16 @@ from riskframe.llm import pages
 ])
 def test_visible_text_of_broken_tables_and_heads(page, text):
     assert [x for x in pages.visible_text(page).split("\n") if x] == text.split("\n")
+
+
+@pytest.mark.parametrize("open_tags", ["<font>" * 300, "<span>" * 20_000, "<div>" * 20_000])
+def test_roles_hold_at_any_depth(open_tags):
+    page = open_tags + ("<p>a<div hidden>no<div>no</div>no</div><i style='display:none'>no</i><select><option>no</select>"
+                        "<noscript>no</noscript><table><tr><td>x<td>y<tr><td>zz<td>k</table><ul><li>one<li>two<ol><li>in</ol></ul>")
+    assert [x for x in pages.visible_text(page).split("\n") if x] == ["a", "x  | y", "zz | k", "- one", "- two", "  1. in"]
+    assert pages.visible_text("<div hidden>" + "<font>" * 300 + "<div>no</div>no<p>no</p></div>yes") == "yes"
+
+
+def test_deeply_nested_tables_and_lists():
+    assert pages.visible_text("<table><tr><td>" * 2000 + "deep") == "deep"
+    assert [x.strip() for x in pages.visible_text("<ul><li>x" * 2000).split("\n") if x] == ["- x"] * 2000
