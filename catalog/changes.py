@@ -120,7 +120,10 @@ def file_changes(d):
 def dependency_changes(d):
     events, pairs = _sequence(d)
     found = changes.member_changes(events.selectExpr("package", "version", "CAST(dependency_id AS STRING) AS member"), pairs)
-    return changes.member_change_text(found).select("package", "from_version", "to_version", "change", "members")
+    # A long list comes in parts, and the query has a row per pair.
+    parts = changes.member_change_text(found).withColumn("members", F.split("members", ", "))
+    whole = F.array_join(F.sort_array(F.flatten(F.collect_list("members"))), ", ")
+    return parts.groupBy("package", "from_version", "to_version", "change").agg(whole.alias("members"))
 
 
 @query(f"SELECT package_id, from_version, to_version, description, severity FROM ({CHANGES}) AS c WHERE package_id = (SELECT min(o_custkey) FROM {{orders}})")

@@ -106,17 +106,17 @@ def report_table(d):
 def explained_risk(d):
     e = evidence_stored(d)
     records = risk.assemble_risk(scored(d, e), *e)
-    ids = F.array_distinct(F.transform("detections", lambda x: x["rule_id"]))
+    # A rule may stand in several parts of a package's record, so rules are counted before.
+    rules = e.detections.groupBy("package_id").agg(F.countDistinct("rule_id").alias("rules"))
     sizes = records.select(
         "package_id", "severity", F.round("final_score", 6).alias("final_score"),
         *(F.coalesce(F.size(c), F.lit(0)).alias(name) for c, name in (
             ("advisories", "advisories"), ("version_changes", "version_changes"), ("community_reports", "reports"))),
         F.coalesce(F.aggregate("detections", F.lit(0).cast("bigint"), lambda a, x: a + x["copies"]), F.lit(0)).alias("detections"),
-        F.when(F.col("detections").isNull(), 0).otherwise(F.size(ids)).alias("rules"),
     )
     return sizes.groupBy("package_id", "severity", "final_score").agg(
-        *(F.sum(c).alias(c) for c in ("advisories", "detections", "version_changes", "reports")), F.max("rules").cast("bigint").alias("rules")
-    )
+        *(F.sum(c).alias(c) for c in ("advisories", "detections", "version_changes", "reports"))
+    ).join(rules, "package_id", "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("bigint")))
 
 
 @query(f"""
@@ -265,11 +265,13 @@ def bills_of_materials(d):
         "package_id", F.col("from_version").cast("string"), F.col("to_version").cast("string"), "severity", "description"
     )
     boms = views.sbom(fleet, advisories, changes)
-    return boms.select(
+    parts = boms.select(
         "project_id", F.get_json_object("bom", "$.specVersion").alias("spec_version"),
         F.json_array_length(F.get_json_object("bom", "$.components")).alias("components"),
         F.json_array_length(F.get_json_object("bom", "$.vulnerabilities")).alias("vulnerabilities"),
     )
+    # Each item stands in one part of a project's document.
+    return parts.groupBy("project_id", "spec_version").agg(*(F.sum(c).cast("int").alias(c) for c in ("components", "vulnerabilities")))
 
 
 @query(f"""
