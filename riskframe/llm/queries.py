@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, exact, licenses, mixing, neighbours, pages, rollups, simhash, substring, toxicity
+from riskframe.llm import (bpe, exact, impact, licenses, mixing, neighbours, pages, periodic, rollups, simhash, spelling,
+                           substring, toxicity)
 
 VOCABULARY, SECOND_VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
 
@@ -76,9 +77,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op11_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_html_text, op3_toxicity, op4_simhash, op5_mixing, op6_neighbours, op7_bpe,
-    op8_exact_dedup, op9_licenses, op10_token_counts)}
+    op8_exact_dedup, op9_licenses, op10_token_counts, op11_top_scores, op12_spelling, op13_periodic_runs)}
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -136,4 +149,47 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_top_scores": """
+        WITH numbers AS (
+            SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        scored AS (
+            SELECT q.vec_id AS query_id, n.vec_id, CAST(list_dot_product(q.vector, n.vector) AS BIGINT) AS score
+            FROM numbers q JOIN numbers n ON q.vec_id <> n.vec_id AND len(q.vector) = len(n.vector) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER best AS INT) AS rank, vec_id, score FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5""",
+    "op12_spelling": """
+        WITH RECURSIVE bits AS (
+            SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8),
+        runs AS (
+            SELECT CAST(CAST(doc_id AS BIGINT) AS VARCHAR) AS id,
+                   unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')) AS run FROM documents),
+        lowered AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+        named AS (SELECT *, hex(encode(id || ':' || run)) AS body FROM lowered),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                list_transform(range(len(body) // 2), lambda i: CAST('0x' || substr(body, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1]), 4294967295)) AS h FROM named, crc),
+        cut AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        gaps AS (
+            SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM words a JOIN gaps b ON a.word = b.rest
+            UNION SELECT a.word, b.word FROM gaps a JOIN words b ON a.rest = b.word),
+        best AS (
+            SELECT x.word, count(*) AS n_near, first(other ORDER BY w.n DESC, encode(other)) AS top, max(w.n) AS top_n
+            FROM near x JOIN words w ON x.other = w.word GROUP BY x.word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * w.n THEN top END AS form,
+                   CASE WHEN top_n >= 10 * w.n THEN top_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+        chain AS (
+            SELECT word, word AS root, form FROM formed
+            UNION ALL SELECT c.word, c.form, f.form FROM chain c JOIN formed f ON c.form = f.word)
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word AND c.form IS NULL""",
 }
