@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 
 from riskframe.llm import bpe, licenses, pages, rollups, toxicity
-from riskframe.llm.queries import SECOND_VOCABULARY, vocabulary
+from riskframe.llm.queries import SECOND_VOCABULARY, VOCABULARY, vocabulary
 
 DOCS = "doc_id bigint, text string, lang string, source string, ids int, label int, score double"
 PATH, PATTERN = vocabulary()
@@ -21,7 +21,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(bpe.load_ranks(PATH), PATTERN)
+    return bpe.Encoder(bpe.Vocabulary(bpe.load_ranks(PATH)), PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -37,17 +37,46 @@ def test_encoding_equals_the_library(encoder, library):
     assert [encoder.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("often", [0, 3])
+def test_arcs_give_the_ids_of_the_library(encoder, library, monkeypatch, often):
+    monkeypatch.setattr(bpe, "OFTEN", often)
+    random.seed(often)
+    for _ in range(1500):
+        text = "".join(random.choices("abcdefgimnorstuéß ", k=random.randrange(25)))
+        assert encoder.encode(text) == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("name", [VOCABULARY, SECOND_VOCABULARY])
+def test_tokens_taken_apart_as_the_merges_make_them(name):
+    ranks = bpe.load_ranks(vocabulary(name)[0])
+    words = bpe.Vocabulary(ranks)
+    random.seed(1)
+    for token, rank in random.sample(sorted(ranks.items()), 4000):
+        assert words.made(rank) == (bpe.merge(ranks, token) == [rank])
+
+
+def test_tables_are_given_up_and_collection_goes_on():
+    import gc
+    with pytest.raises(ValueError), bpe.codec(PATH, PATTERN) as (encoder, _):
+        encoder.encode("some words met for the first time")
+        assert not gc.isenabled() and encoder.recent
+        raise ValueError
+    assert gc.isenabled() and not encoder.recent and not encoder.older and len(encoder.transducer.nodes) == 1
+
+
 def test_tables_of_any_size_give_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(bpe, "OFTEN", 2)
     monkeypatch.setattr(bpe, "MAX_STATES", 20)
     monkeypatch.setattr(bpe, "MAX_PIECES", 3)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
-    small = bpe.Encoder(bpe.load_ranks(PATH), PATTERN)
+    small = bpe.Encoder(bpe.Vocabulary(bpe.load_ranks(PATH)), PATTERN)
     text = "the quick brown foxes jumped unbelievably over thirteen lazy dogs " * 3
     assert small.encode(text) == library.encode_ordinary(text) == small.encode(text)
 
 
-def test_emission_waits_for_bounded_lookahead(encoder):
-    longest = max(map(len, encoder.transducer.prefixes)) + 1
+def test_emission_waits_for_bounded_lookahead(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "OFTEN", 0)
+    longest = max(encoder.transducer.length.values())
     encoder.encode("qwertyuiopasdfghjklzxcvbnm" * 40)
     assert max(len(state[1]) for state in encoder.transducer.nodes) <= 2 * longest
 
