@@ -1,83 +1,99 @@
 """Toxicity scores from subword bags, learnt from labelled documents.
 
-A document is the average of the embeddings of its subwords (each different lower-case word and its
-character n-grams, hashed into buckets), and a linear softmax on that average gives the score. Embeddings and
-softmax are trained jointly. A misspelt or new word shares most of its n-grams, and so its vectors,
-with the words it was made from.
+A bag is the average of the embeddings of its subwords (lower-case words and their character n-grams,
+hashed into buckets), and a linear softmax on that average gives its score. Embeddings and softmax are trained
+jointly. A misspelt or new word shares most of its n-grams, and so its vectors, with the words it
+was made from.
+
+A document has two such scores. One is of the bag of its different words. A few insults weigh little in a long
+text, so a second model scores its passages of PASSAGE words, and the highest counts; it is trained on the passage
+of each document that the first model scores highest. The document's score is a logistic function of both.
 
 Training reads a bounded sample: at most SAMPLE labelled documents of each class, those of smallest
 id hash. Their bags, not their texts, come to the driver: at most 2 * SAMPLE * BUCKETS counts.
-Scoring reads every whole text. Since the softmax is linear, a word adds one number to the average,
-which a worker keeps for the words it met of late; the model is one number per bucket.
+Scoring reads every whole text. Since the softmax is linear, a word adds one number to each average,
+which a task keeps for the words it met of late; a model is one number per bucket.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from xxhash import xxh32_intdigest
+
+from riskframe.session import durable
 
 SAMPLE = 1_500
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 6, 32, 0.4, 1e-4, 7
-FOLDS, CHECKED = 5, 5
-MAX_KNOWN, MAX_WORDS = 150_000, 20_000
+FOLDS, CHECKED, PASSAGE = 5, 5, 40
+# Words in each of the two generations of a task's table (some 300 bytes each), and characters looked up together.
+MAX_KNOWN, AT_ONCE = 100_000, 1 << 20
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD], np.uint64)
 
 words_of = re.compile(r"\w+").findall
 
 
-@lru_cache(maxsize=MAX_WORDS)
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: itself and its n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    grams = {marked[i: i + n] for n in SIZES for i in range(len(marked) - n + 1)} | {marked}
-    return [xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts): for all words one after the other, the buckets of their n-grams (repeats included) and of
+    the whole word, with marks at both ends; and how many buckets each word has."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(size)
+    place = np.arange(len(codes)) - np.repeat(ends - size, size)
+    room = np.repeat(size, size) - place  # letters from here to the end of the word
+    hashes, owners = [np.add.reduceat(_mixed(codes * MIX[1] + place.astype(np.uint64) * MIX[2]), ends - size)], [np.arange(len(words))]
+    value, owner = codes * MIX[0], np.repeat(np.arange(len(words)), size)
+    for n in range(2, SIZES[-1] + 1):
+        value = (value[:-1] * MIX[0] + codes[n - 1:]) * MIX[1]
+        if n in SIZES:
+            inside = np.flatnonzero(room[: len(value)] >= n)
+            hashes.append(value[inside])
+            owners.append(owner[inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return (_mixed(np.concatenate(hashes)) % np.uint64(BUCKETS)).astype(np.int64)[order], np.bincount(owner, minlength=len(words))
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * MIX[2]
+    return values ^ (values >> np.uint64(29))
 
 
-def bag(text: str | None) -> tuple[list[int], list[int]]:
-    """Buckets of the different words of a whole text and how often each occurs."""
-    counts: Counter[int] = Counter()
-    for word in set(words_of((text or "").lower())):
-        counts.update(subwords(word))
-    buckets = sorted(counts)
-    return buckets, [counts[b] for b in buckets]
+def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of some words and how often each occurs."""
+    return np.unique(subwords(words)[0], return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @dataclass
 class Model:
-    """Score of a text: sigmoid(average of `weights` over its subwords + `bias`)."""
+    """Score of a text: sigmoid(line[0] * average over its words + line[1] * highest average of a passage + line[2]).
 
-    weights: np.ndarray | None
-    bias: float
+    `weights` are those of the two averages; `prior` is the score of a text without words, or without `weights` of any.
+    """
 
+    prior: float
+    weights: np.ndarray | None = None
+    line: np.ndarray | None = None
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: float) -> Model:
-    """Embeddings and softmax by Adagrad on small batches; `rate` is the true share of label 1."""
-    if len(np.unique(labels)) < 2 or not 0 < rate < 1:
-        return Model(None, math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
-    # Every CHECKED-th document of each label only calibrates.
-    left_out = np.zeros(len(labels), bool)
-    for y in (0, 1):
-        left_out[np.flatnonzero(labels == y)[CHECKED - 1:: CHECKED]] = True
-    checks = [bags[i] for i in np.flatnonzero(left_out)], labels[left_out]
-    bags, labels = [bags[i] for i in np.flatnonzero(~left_out)], labels[~left_out]
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Embeddings and softmax by Adagrad on small batches; returns the weight of every bucket."""
     random = np.random.default_rng(SEED)
     embed = random.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     soft, offset = random.uniform(-1, 1, (DIMENSIONS, 2)) / DIMENSIONS, np.zeros(2)
     seen_embed, seen_soft, seen_offset = np.full(BUCKETS, 1e-12), np.full(soft.shape, 1e-8), np.full(2, 1e-8)
     target = np.eye(2)[labels]
-    filled = np.array([i for i, (buckets, _) in enumerate(bags) if len(buckets)])
+    filled = np.array([i for i, (buckets, _) in enumerate(bags) if len(buckets)], np.int64)
     for epoch in range(EPOCHS):
         for at in range(0, len(order := random.permutation(filled)), BATCH):
             some = order[at: at + BATCH]
@@ -100,50 +116,91 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: f
             soft -= RATE * step_soft / np.sqrt(seen_soft)
             seen_offset += step_offset ** 2
             offset -= RATE * step_offset / np.sqrt(seen_offset)
-    return calibrated(Model(embed @ (soft[:, 1] - soft[:, 0]), float(offset[1] - offset[0])), *checks, rate)
+    return embed @ (soft[:, 1] - soft[:, 0])
 
 
-def calibrated(model: Model, bags: list, labels: np.ndarray, rate: float) -> Model:
-    """Scale and shift the logits so that they fit documents the training left out, at the true share of 1.
+def calibrated(averages: np.ndarray, labels: np.ndarray, rate: float) -> np.ndarray:
+    """(a, b, c) so that sigmoid(a * x + b * y + c) fits documents the training left out, at the true share of 1.
 
-    The sample holds both labels alike, so its rows are weighted back. Newton steps on two parameters.
+    The sample holds both labels alike, so its rows are weighted back. Newton steps on scaled averages.
     """
-    logits = np.array([model.weights[b] @ c / c.sum() + model.bias if len(b) else model.bias for b, c in bags])
-    share = labels.mean() if len(labels) else 0.0
-    if not 0 < share < 1:
-        return Model(model.weights, model.bias + math.log(rate / (1 - rate)))
-    weight = np.where(labels == 1, rate / share, (1 - rate) / (1 - share))
-    x, line = np.stack([logits, np.ones(len(logits))], axis=1), np.array([1.0, 0.0])
+    middle, spread = averages.mean(axis=0), averages.std(axis=0) + 1e-9
+    x = np.column_stack([(averages - middle) / spread, np.ones(len(averages))])
+    weight = np.where(labels == 1, rate / labels.mean(), (1 - rate) / (1 - labels.mean()))
+    line = np.array([1.0, 1.0, math.log(rate / (1 - rate))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
-        slope = x.T @ (weight * (p - labels)) + 1e-3 * (line - [1.0, 0.0])
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        slope = x.T @ (weight * (p - labels)) + 1e-2 * line
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
         line -= np.clip(np.linalg.solve(curve, slope), -2, 2)
-    return Model(model.weights * line[0], model.bias * line[0] + line[1])
+    return np.array([*(line[:2] / spread), line[2] - line[:2] @ (middle / spread)])
 
 
-class WordSums(dict):
-    """Word -> sum of its subwords' weights and, as the imaginary part, their number."""
+def passages(words: list[str]) -> list[list[str]]:
+    """Runs of PASSAGE words; the rest belongs to the last one."""
+    n = max(1, len(words) // PASSAGE)
+    return [words[k * PASSAGE: (k + 1) * PASSAGE if k < n - 1 else len(words)] for k in range(n)]
 
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
 
-    def __missing__(self, word: str) -> complex:
-        buckets = subwords(word)
-        value = complex(self.weights[buckets].sum(), len(buckets))
-        if len(self) >= MAX_KNOWN:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+class Averages:
+    """The two averages of texts under two lists of weights; words met of late are kept in two generations."""
 
-
-def score_text(text: str | None, model: Model, sums: WordSums | None) -> float:
-    words = set(words_of((text or "").lower())) if sums is not None else ()
-    total = sum(map(sums.__getitem__, words)) if words else 0
-    logit = model.bias + (total.real / total.imag if total else 0.0)
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.recent: dict[str, tuple[float, float, int]] = {}
+        self.older: dict[str, tuple[float, float, int]] = {}
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        """(sum of the first weights, of the second ones, number of subwords) of each word."""
+        if len(self.recent) >= MAX_KNOWN:
+            self.recent, self.older = {}, self.recent
+        missing = set(words).difference(self.recent)
+        again = missing.intersection(self.older)
+        self.recent.update(zip(again, map(self.older.__getitem__, again)))
+        if fresh := list(missing - again):
+            buckets, counts = subwords(fresh)
+            starts = np.cumsum(counts) - counts
+            sums = [np.add.reduceat(w[buckets], starts).tolist() for w in self.weights]
+            self.recent.update(zip(fresh, zip(*sums, counts.tolist())))
+        return np.array(list(map(self.recent.__getitem__, words)))
+
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """(average over the different words, highest average of a passage) of each list of words; 0, 0 of an empty one."""
+        out, sizes = np.zeros((len(texts), 2)), np.fromiter(map(len, texts), np.int64, len(texts))
+        filled = np.flatnonzero(sizes)
+        if not len(filled):
+            return out
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+        first, second, count = self._of(list(number)).T
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+        own = np.repeat(np.arange(len(texts)), sizes)
+        text, word = np.divmod(np.unique(own * len(number) + ids), len(number))
+        out[filled, 0] = (np.bincount(text, first[word], len(texts)) / np.bincount(text, count[word], len(texts)).clip(1))[filled]
+        parts = np.maximum(1, sizes // PASSAGE) * (sizes > 0)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        passage = np.minimum(place // PASSAGE, parts[own] - 1) + (np.cumsum(parts) - parts)[own]
+        means = np.bincount(passage, second[ids]) / np.bincount(passage, count[ids])
+        out[filled, 1] = np.maximum.reduceat(means, (np.cumsum(parts) - parts)[filled])
+        return out
+
+
+def words_in(text: str | None) -> list[str]:
+    return words_of((text or "").lower())
+
+
+def score_texts(texts: list[str | None], model: Model, averages: Averages | None) -> Iterator[float]:
+    """Scores of whole texts; words are looked up for some AT_ONCE characters of text together."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        some = [words_in(t) if averages is not None else [] for t in texts[at:end]]
+        logits = averages.of(some) @ model.line[:2] + model.line[2] if averages is not None else np.zeros(len(some))
+        for words, logit in zip(some, logits.tolist()):
+            yield 1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))) if words else model.prior
+        at = end
 
 
 def fold(doc_id: Column) -> Column:
@@ -163,20 +220,54 @@ def labelled_sample(labels: DataFrame, label: str, sample: int) -> tuple[DataFra
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Train on a bounded sample of labelled rows of `docs` (doc_id, text)."""
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = [bag(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"],
-                                "buckets": [b for b, _ in both], "counts": [c for _, c in both]})
-
+    """Train on a bounded sample of labelled rows of `docs` (doc_id, text); every CHECKED-th one of a label only calibrates."""
+    spark = docs.sparkSession
     chosen, rate = labelled_sample(labels, label, sample)
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     # At most 2 * sample short rows: a bounded broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(bags, "doc_id bigint, label int, buckets array<int>, counts array<int>")
-    table = rows.toArrow().sort_by("doc_id")
-    arrays = [[np.asarray(x.values) for x in table.column(c)] for c in ("buckets", "counts")]
-    return train(list(zip(*arrays)), np.asarray(table.column("label"), np.int64), rate)
+    rows = durable(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
+
+    def bags(weights=None):
+        """Per row its whole bag, or, given weights, that of the passage of highest average."""
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = []
+                for text in batch["text"]:
+                    words = words_in(text)
+                    if weights is not None and words:
+                        all_bags = [bag(p) for p in passages(words)]
+                        found.append(max(all_bags, key=lambda b: weights.value[b[0]] @ b[1] / b[1].sum()))
+                    else:
+                        found.append(bag(list(set(words))))
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "buckets": [b for b, _ in found], "counts": [c for _, c in found]})
+
+        table = rows.mapInPandas(work, "doc_id bigint, label int, buckets array<int>, counts array<int>").toArrow()
+        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        lists = [[np.asarray(x.values, np.int64) for x in table.column(c)] for c in ("buckets", "counts")]
+        return list(zip(*lists)), np.asarray(table.column("label"), np.int64), np.asarray(table.column("doc_id"), np.int64)
+
+    def averages(weights):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = Averages(weights.value).of([words_in(t) for t in batch["text"]])
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "whole": found[:, 0], "passage": found[:, 1]})
+
+        return rows.mapInPandas(work, "doc_id bigint, label int, whole double, passage double").toPandas()
+
+    whole, known, ids = bags()
+    teaches = np.ones(len(known), bool)
+    for y in (0, 1):
+        teaches[np.flatnonzero(known == y)[CHECKED - 1:: CHECKED]] = False
+    if not 0 < rate < 1 or len(np.unique(known[teaches])) < 2 or len(np.unique(known[~teaches])) < 2:
+        return Model(rate)
+    taught = np.flatnonzero(teaches)
+    first = train([whole[i] for i in taught], known[taught])
+    best = bags(spark.sparkContext.broadcast(first))[0]
+    second = train([best[i] for i in taught], known[taught])
+    weights = np.stack([first, second])
+    left = averages(spark.sparkContext.broadcast(weights))
+    left = left[left["doc_id"].isin(ids[~teaches])].sort_values(["doc_id", "label", "whole", "passage"])
+    return Model(rate, weights, calibrated(left[["whole", "passage"]].to_numpy(), left["label"].to_numpy(), rate))
 
 
 def score(model: Model, spark) -> callable:
@@ -186,9 +277,9 @@ def score(model: Model, spark) -> callable:
     @F.pandas_udf(DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        sums = WordSums(own.weights) if own.weights is not None else None
+        averages = Averages(own.weights) if own.weights is not None else None
         for texts in batches:
-            yield pd.Series([score_text(t, own, sums) for t in texts], dtype="float64")
+            yield pd.Series(list(score_texts(texts.tolist(), own, averages)), dtype="float64")
 
     return scored
 
@@ -197,8 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     """One row per row of `docs` (doc_id, text): held_out, score, predicted.
 
     Labels are learnt outside the held-out fold only, and only texts are scored. A text without words
-    gets the share of label 1 among the labelled rows. Without labels of both kinds every text gets
-    that share. Null doc_id is not held out. Other columns are ignored.
+    gets the share of label 1 among the labelled rows. Without enough labelled texts of both kinds every text gets
+    that share. Null doc_id is not held out; repeated rows each give a row, no rows none. Other columns are ignored.
     """
     scored = score(fit(docs, labels, label), docs.sparkSession)
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(fold(docs["doc_id"]) == 0, F.lit(False)).alias("held_out"),
@@ -207,6 +298,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """Rows of `docs` that score below one half, with all their columns."""
+    """Rows of `docs` that score below one half, with all their columns; null and empty texts, null ids and
+    repeated rows are scored like any other. No rows give no rows."""
     scored = score(fit(docs, labels, label), docs.sparkSession)
     return docs.filter(scored(docs["text"]) < 0.5)
