@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,18 +48,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/riskframe-{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def durable(df: DataFrame, name: str = "stored") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Later uses see the same rows in the same slices, read only the columns they need, and
     losing an executor costs no recomputation. (A checkpoint would compute `df` twice.)
-    The folder is scratch space of the cluster and is cleaned like its checkpoints.
+    The folder is scratch space: `step` removes it, or the cluster cleans it like its checkpoints.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def step(spark: SparkSession, make: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """`make()` as a durable table; what `make` stored on the way is removed when that table is written."""
+    start = len(_written)
+    result = durable(make(), name)
+    passing, _written[start:] = _written[start:-1], _written[-1:]
+    for path in passing:
+        remove(spark, path)
+    return result
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored folder wherever Spark keeps it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core for CPU-heavy work on an input of few splits.
 

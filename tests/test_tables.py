@@ -46,3 +46,19 @@ def test_scans_are_partitioned_by_day(spark, tmp_path):
     df = spark.createDataFrame([("s", datetime(2024, 5, 6, 7, 8))], "scan_id STRING, scanned_at TIMESTAMP")
     tables.append_by_date(df, str(tmp_path / "t"))
     assert (tmp_path / "t" / "scan_date=2024-05-06").is_dir()
+
+
+def test_step_keeps_its_result_and_removes_what_it_passed(spark):
+    import os
+    from riskframe.session import _written, durable, step
+    before = durable(spark.range(3), "before")
+    passed = []
+
+    def make():
+        first = durable(before.selectExpr("id + 1 AS id"), "first")
+        passed.append(_written[-1])
+        return durable(first.selectExpr("id * 2 AS id"), "second").filter("id > 2")
+
+    result = step(spark, make)
+    assert sorted(r["id"] for r in result.collect()) == [4, 6] and before.count() == 3
+    assert not os.path.exists(passed[0]) and os.path.exists(_written[-1])
