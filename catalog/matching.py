@@ -88,6 +88,52 @@ def osv_matches(d):
     return matching.match_osv(d.adapter("packages"), ranges)
 
 
+def _versions(k: str, a: str, b: str, c: str, s: str) -> tuple[str, str]:
+    """Version text of every shape of three ecosystems, and the number by which these versions order.
+
+    From whole numbers: `k` picks the ecosystem, `s` the shape, `a` and `b` the release, `c` what follows it.
+    """
+    a_b = f"CAST({a} AS STRING), '.', CAST({b} AS STRING)"
+    c_text = f"CAST({c} AS STRING)"
+    text = f"""CASE concat(CAST({k} % 3 AS STRING), CAST({s} % 5 AS STRING))
+        WHEN '00' THEN concat({a_b}, '.0') WHEN '01' THEN concat({a_b}, '.0-alpha.', {c_text}) WHEN '02' THEN concat({a_b}, '.0-alpha')
+        WHEN '03' THEN concat({a_b}, '.0-rc.', {c_text}) WHEN '04' THEN concat({a_b}, '.0+build.', {c_text})
+        WHEN '10' THEN concat({a_b}) WHEN '11' THEN concat({a_b}, 'rc', {c_text}) WHEN '12' THEN concat({a_b}, '.post', {c_text})
+        WHEN '13' THEN concat(CAST({c} % 2 AS STRING), '!', {a_b}, '.0') WHEN '14' THEN concat({a_b}, '.dev', {c_text})
+        WHEN '20' THEN concat('v', {a_b}, '.0') WHEN '21' THEN concat('v', {a_b}, '.0-2024010', {c_text}000000-abcdefabcdef')
+        WHEN '22' THEN concat('v', {a_b}, '.0-0.2024010', {c_text}000000-abcdefabcdef') WHEN '23' THEN concat('v', {a_b}, '.0+incompatible')
+        ELSE concat('v', {a_b}, '.0-rc.', {c_text}) END""".replace(f"{c_text}000000-abcdefabcdef'", f"{c_text}, '000000-abcdefabcdef'")
+    phase = f"""CASE concat(CAST({k} % 3 AS STRING), CAST({s} % 5 AS STRING))
+        WHEN '01' THEN 120 + {c} WHEN '02' THEN 110 WHEN '03' THEN 140 + {c} WHEN '11' THEN 140 + {c} WHEN '12' THEN 910 + {c} WHEN '14' THEN 100 + {c}
+        WHEN '21' THEN 120 + {c} WHEN '22' THEN 110 + {c} WHEN '24' THEN 140 + {c} ELSE 900 END"""
+    epoch = f"CASE WHEN {k} % 3 = 1 AND {s} % 5 = 3 THEN {c} % 2 ELSE 0 END"
+    return text, f"((({epoch}) * 100 + {a}) * 100 + {b}) * 1000 + {phase}"
+
+
+_HELD = _versions("p_partkey", "p_size % 3", "p_size % 25", "p_partkey % 7 % 4", "p_partkey")
+_FIRST = _versions("s_suppkey", "s_suppkey % 2", "s_suppkey * 7 % 25", "s_suppkey % 4", "s_suppkey")
+_FIXED = _versions("s_suppkey", "(1 + s_suppkey % 2)", "s_suppkey * 11 % 25", "(s_suppkey + 1) % 4", "(s_suppkey + 2)")
+_ECOSYSTEM = "CASE {k} % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'Go' END"
+HELD = f"""
+    SELECT DISTINCT concat('lib-', CAST(p_partkey % 7 AS STRING)) AS name, {_ECOSYSTEM.format(k='p_partkey')} AS ecosystem,
+           {_HELD[0]} AS version, {_HELD[1]} AS place FROM {{part}}"""
+SPANS = f"""
+    SELECT concat('OSV-', CAST(s_suppkey AS STRING)) AS external_id, concat('lib-', CAST(s_suppkey % 7 AS STRING)) AS name,
+           {_ECOSYSTEM.format(k='s_suppkey')} AS ecosystem, CASE WHEN s_suppkey % 4 = 0 THEN '0' ELSE {_FIRST[0]} END AS introduced,
+           CASE WHEN s_suppkey % 11 = 3 THEN NULL ELSE {_FIXED[0]} END AS fixed,
+           CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE {_FIRST[1]} END AS low, CASE WHEN s_suppkey % 11 <> 3 THEN {_FIXED[1]} END AS high
+    FROM {{supplier}}"""
+
+
+@query(f"""
+    SELECT h.name, h.version, h.ecosystem, s.external_id FROM ({HELD}) AS h JOIN ({SPANS}) AS s ON h.name = s.name AND h.ecosystem = s.ecosystem
+    WHERE h.place >= s.low AND (s.high IS NULL OR h.place < s.high)""")
+def osv_matches_of_all_shapes(d):
+    """Pre-releases, Python's phases and epochs, Go's pseudo-versions; the twin orders them by the numbers they were made from."""
+    spans = d.sql(SPANS).drop("low", "high").withColumn("versions", F.lit(None).cast("array<string>"))
+    return matching.match_osv(d.sql(HELD).drop("place"), spans)
+
+
 NAME_ADVISORIES = """
     SELECT DISTINCT p.name, a.external_id, a.published_at FROM {advisories} AS a JOIN {packages} AS p ON a.package_id = p.package_id"""
 
