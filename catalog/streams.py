@@ -5,9 +5,14 @@ from pyspark.sql import functions as F
 from catalog.base import ADAPTERS, query
 from catalog.detection import DETECTED_SQL
 from catalog.filters import ARRIVALS
+from catalog.ingest import corpus
 from catalog.tables import EXPIRY, TTL
+from riskframe.functions.severity import SEVERITY_SCORES
 from riskframe.operators.filters import lock_events
+from riskframe.operators.published import Published
+from riskframe.plans.rescans import scored_scan
 from riskframe.session import scratch_path
+from riskframe.sources.files import bundled_blocklist, land_manifests
 from riskframe.streaming import watch
 
 
@@ -54,6 +59,54 @@ def streamed_rescans(d):
     return stored.groupBy("file_name").agg(F.sum("landed").alias("landed"))
 
 
+FILES = ("package-lock.json", "package.json", "poetry.lock", "pyproject.toml", "go.sum", "go.mod", "Cargo.lock", "Cargo.toml")
+K = "CAST({k} % 10 AS STRING)"
+AFFECTED = f"""
+    SELECT concat('OSV-', CAST(s_suppkey AS STRING)) AS external_id, CASE s_suppkey % 4 WHEN 0 THEN 'PyPI' WHEN 1 THEN 'crates.io' WHEN 2 THEN 'Go' ELSE 'npm' END AS ecosystem,
+           CASE s_suppkey % 4 WHEN 0 THEN 'req-uests' WHEN 1 THEN 'serde' WHEN 2 THEN 'example.com/a' ELSE concat('n', CAST(s_suppkey AS STRING)) END AS name,
+           CASE s_suppkey % 4 WHEN 0 THEN '2' WHEN 1 THEN '0' WHEN 2 THEN 'v1.0.0' ELSE concat('1.', {K.format(k='s_suppkey')}, '.0-rc.1') END AS introduced,
+           CASE s_suppkey % 4 WHEN 0 THEN concat('2.', {K.format(k='s_suppkey')}) WHEN 1 THEN concat('1.0.', {K.format(k='s_suppkey')})
+                WHEN 2 THEN concat('1.2.', CAST(s_suppkey % 7 AS STRING)) ELSE NULL END AS fixed,
+           CASE s_suppkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
+    FROM {{supplier}}"""
+_SCORE = "CASE s_suppkey % 5 WHEN 0 THEN {critical} WHEN 1 THEN {high} WHEN 2 THEN {medium} ELSE {low} END".format(
+    **{name: f"CAST({score} AS DOUBLE)" for name, score in SEVERITY_SCORES.items()})
+_O, _K = "CAST(o_orderkey AS STRING)", K.format(k="o_custkey")
+
+
+# Every order is a project with four kinds of locks; the twin states its packages and which suppliers' advisories hold them.
+@query(f"""
+    WITH held AS (
+        SELECT o_orderkey AS project_id, o_custkey AS c, o_custkey % 10 AS k, v.* FROM {{orders}}, (VALUES
+            ('nodejs', 1), ('nodejs', 2), ('PyPI', 3), ('PyPI', 4), ('PyPI', 5), ('Go', 6), ('Go', 7), ('crates.io', 8), ('crates.io', 9), ('crates.io', 10), ('crates.io', 11)
+        ) AS v(ecosystem, n)),
+    told AS (
+        SELECT project_id, ecosystem, c, k, n,
+               CASE n WHEN 1 THEN concat('n', CAST(c AS STRING)) WHEN 2 THEN concat('@s/x', CAST(project_id AS STRING)) WHEN 3 THEN 'req-uests' WHEN 4 THEN concat('pytest', CAST(k AS STRING))
+                      WHEN 5 THEN concat('deep', CAST(project_id AS STRING)) WHEN 6 THEN 'example.com/a' WHEN 7 THEN concat('example.com/b', CAST(k AS STRING))
+                      WHEN 8 THEN 'serde' WHEN 9 THEN 'proptest' ELSE 'deep' END AS name,
+               CASE n WHEN 1 THEN concat('1.', CAST(k AS STRING), '.0') WHEN 2 THEN '' WHEN 3 THEN concat('2.', CAST(k AS STRING), '.0') WHEN 4 THEN '0.0.0' WHEN 5 THEN '3'
+                      WHEN 6 THEN '1.2.3' WHEN 7 THEN '0.1.0' WHEN 8 THEN concat('1.0.', CAST(k AS STRING)) WHEN 9 THEN '0.0.0' WHEN 10 THEN '2' ELSE '3' END AS version FROM held),
+    hit AS (
+        SELECT s_suppkey % 4 AS kind, CASE s_suppkey % 4 WHEN 3 THEN s_suppkey WHEN 2 THEN s_suppkey % 7 ELSE s_suppkey % 10 END AS bound, {_SCORE} AS score FROM {{supplier}}),
+    found AS (
+        SELECT project_id, n, count(*) AS advisory_count, max(score) AS score FROM told JOIN hit ON
+            (n = 3 AND kind = 0 AND k < bound) OR (n = 8 AND kind = 1 AND k < bound) OR (n = 6 AND kind = 2 AND 3 < bound) OR (n = 1 AND kind = 3 AND c = bound)
+        GROUP BY project_id, n)
+    SELECT t.project_id, ecosystem, name, version, coalesce(advisory_count, 0) AS advisory_count, coalesce(score, 0.0) AS final_score
+    FROM told t LEFT JOIN found f ON t.project_id = f.project_id AND t.n = f.n""")
+def streamed_project_risks(d):
+    """Lands the corpus, streams its locks in batches, resolves, scores and publishes the projects they name."""
+    corpus_path = scratch_path(d.spark, "landed")
+    land_manifests(corpus(d, *FILES), corpus_path)
+    affected = d.sql(AFFECTED).withColumns({"cvss_score": F.lit(None).cast("double"), "versions": F.lit(None).cast("array<string>")})
+    scan = scored_scan(watch.landed_packages(corpus_path), F.lit("2024-01-01").cast("timestamp"), affected=affected, blocklist=bundled_blocklist(d.spark))
+    store = Published(d.spark, scratch_path(d.spark, "published"))
+    watch.publish_rescans(watch.landed_locks(d.spark, corpus_path), scan, store, scratch_path(d.spark, "published-progress")).awaitTermination()
+    return store.current("risks", ["project_id"]).select(
+        "project_id", "ecosystem", "name", "version", "advisory_count", "final_score")
+
+
 @query(f"""
     SELECT 'advisories' AS table_name, count(*) AS n FROM {{advisories}} WHERE fetched_at >= TIMESTAMP '{EXPIRY}' - INTERVAL {TTL} SECOND
     UNION ALL SELECT 'metrics', count(*) FROM {{maintainer_metrics}} JOIN {{orders}} ON o_orderkey = package_id

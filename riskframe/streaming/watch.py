@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.operators.detection import detect_files
 from riskframe.operators.evidence import severity_counts
+from riskframe.operators.published import Published, Table
 from riskframe.operators.tables import expire
 from riskframe.seeds import LOCK_FILES
 from riskframe.sources.files import describe_files, project_files
@@ -45,6 +46,37 @@ def changed_packages(root: str, assess: Callable[[DataFrame], DataFrame] | None
     return scan
 
 
+def landed_packages(path: str) -> Callable[[DataFrame], DataFrame]:
+    """The packages of the projects that a batch names, from all their files in the table at `path`
+    (as `land_manifests` stores them). Projects and files meet in a join, so a batch may name any number."""
+    def packages(batch: DataFrame) -> DataFrame:
+        files = batch.sparkSession.read.parquet(path)
+        projects = batch.select(batch["project_id"].cast(files.schema["project_id"].dataType).alias("project_id")).distinct()
+        return resolve_packages(files.join(projects, "project_id", "left_semi"))
+
+    return packages
+
+
+def landed_locks(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
+    """Stream of the lock files (project_id, file_name) that land in such a table; contents are not read."""
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    return stream.select("project_id", "file_name").filter(F.col("file_name").isin(*WATCHED))
+
+
+def publish_rescans(events: DataFrame, scan: Callable[[DataFrame], dict[str, Table]], store: Published,
+                    checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Scan the projects that the events of a batch name, and publish all its tables at once under the batch id.
+
+    A batch that is repeated after a failure, or was already published, is seen once.
+    """
+    def body(batch: DataFrame, batch_id: int) -> None:
+        store.commit(batch_id, scan(batch))
+
+    writer = events.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def rescan(scan: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch body: scan the changed projects, store the rows under the batch id.
 
