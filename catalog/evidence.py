@@ -195,12 +195,11 @@ def worst_severities(d):
 
 
 @query(f"""
-    WITH {SCORED} SELECT package_id, advisory_count, detection_count, report_count FROM risks
-    WHERE advisory_count + detection_count + change_count + report_count > 0
-      AND package_id IN (SELECT package_id FROM a UNION SELECT package_id FROM det UNION SELECT package_id FROM com)""")
+    WITH {SCORED} SELECT package_id, advisory_count, detection_count, change_count, report_count FROM risks
+    WHERE advisory_count + detection_count + change_count + report_count > 0""")
 def counted_evidence(d):
     scores = evidence.evidence_scores(
-        d.adapter("advisories"), detections(d), d.spark.createDataFrame([], "package_id BIGINT, severity STRING"), reports(d)
+        d.adapter("advisories"), detections(d), version_changes(d), reports(d)
     )
     known = d.adapter("packages").select("package_id")
     return evidence.evidence_counts(scores).join(known, "package_id", "left_semi")

@@ -240,12 +240,11 @@ def scan_by_prefix(d):
     WITH {BLOCKLIST_SQL}, hits AS ({MATCHED_SQL})
     SELECT h.package_id, concat(h.listed_name, ' (', coalesce(array_to_string(b.versions, ', '), 'all versions'), ')') AS package,
            b.eco AS ecosystem, upper(b.severity) AS severity,
-           CASE WHEN length(b.reason) > 55 THEN concat(left(b.reason, 55), '…') ELSE b.reason END AS reason
+           CASE WHEN length(b.reason) > 55 THEN concat(left(b.reason, 55), '…') ELSE b.reason END AS reason, b.reason AS full_reason
     FROM hits AS h JOIN blocklist AS b ON h.listed_name = b.listed_name""")
 def blocklist_rows(d):
     entries = bundled_blocklist(d.spark)
-    view = views.blocklist_view(entries)
-    listed = view.withColumn("listed_name", F.regexp_extract("package", r"^(\S+) \(", 1))
+    listed = views.blocklist_view(entries, "package_name").withColumnRenamed("package_name", "listed_name")
     return reports(d).select("package_id", "listed_name").join(listed, "listed_name").drop("listed_name")
 
 

@@ -120,7 +120,8 @@ def worst_severity(risks: DataFrame, keys: Sequence[str] = ("project_id",)) -> D
 
 
 def evidence_counts(scores: DataFrame) -> DataFrame:
-    return scores.select("package_id", "advisory_count", "detection_count", "report_count")
+    """How many pieces of evidence of each of the four kinds every package has."""
+    return scores.select("package_id", "advisory_count", "detection_count", "change_count", "report_count")
 
 
 def repo_activity(releases: DataFrame, contributors: DataFrame, as_of: Column, page: int | None = None) -> DataFrame:
