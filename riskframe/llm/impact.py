@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from riskframe.session import durable
 
 SCALE, EVERY, K = 256, 50, 5
-BLOCK, BANDS, FEW = 16_384, 24, 64
+BLOCK, BANDS, FEW = 16_384, 12, 1_024
 # Sums of absolute components stay below this, so that every inner product is a long.
 MOST = 1 << 31
 
@@ -46,8 +46,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(vectors.T, self.order.astype(np.int64), axis=1)
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
 
     def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k rows of largest score, ties to the smaller id: largest first."""
@@ -72,22 +72,19 @@ class Block:
                          for i, w, up, a, b in zip(lists, weights, rising, low, high)])
         ends[:, -1] = np.where(rising, 0, n)
         done = np.where(rising, n, 0)
-        sums, met = np.zeros(n), np.zeros(n)
+        sums, met = np.zeros(n), np.zeros(n, np.int32)
         for band, floor in enumerate(floors.tolist()):
-            rows, impacts = [], []
-            for i, w, up, a, b, x, y in zip(lists, weights, rising, low, high, done, ends[:, band]):
-                if x != y:
+            for i, w, up, a, b, x, y in zip(lists, weights, rising, low, high, done.tolist(), ends[:, band].tolist()):
+                if x != y:  # a list holds a row once, so its segment's sums are added in place
                     segment = slice(y, x) if up else slice(x, y)
-                    rows.append(self.order[i, segment])
-                    impacts.append(w * (self.values[i, segment] - a) if up else w * (b - self.values[i, segment]))
+                    rows = self.order[i, segment]
+                    sums[rows] += w * (self.values[i, segment] - a) if up else w * (b - self.values[i, segment])
+                    if floor:
+                        met[rows] += 1
             done = ends[:, band]
-            if not rows:
-                continue
-            rows = np.concatenate(rows)
-            sums += np.bincount(rows, np.concatenate(impacts), n)
-            met += np.bincount(rows, minlength=n)
             least = np.partition(sums, n - k)[n - k] - slack
-            left = sums + (len(lists) - met) * floor + slack >= least
+            # What a row has not met lies below the level; at the last level nothing is left.
+            left = sums + ((len(lists) - met) * floor if floor else 0.0) + slack >= least
             if np.count_nonzero(left) <= max(FEW, 2 * k):
                 break
         return np.flatnonzero(left)
