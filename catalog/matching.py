@@ -161,7 +161,27 @@ def nvd_matches(d):
     cves = d.table("documents").selectExpr(
         "concat('CVE-', doc_id) AS external_id", "n_chars AS published_at", "text AS description"
     )
-    return matching.match_nvd(d.sql(WORD_NAMES), cves).select("name", "external_id")
+    return matching.match_nvd(d.sql(WORD_NAMES), cves, whole_runs=True).select("name", "external_id")
+
+
+# The first word of every turn is a package name, and so are its first two words together.
+TURN_NAMES = """SELECT DISTINCT name FROM (
+    SELECT explode(array(regexp_extract(text, '^[A-Za-z]+', 0), regexp_extract(text, '^[A-Za-z]+[^A-Za-z]+[A-Za-z]+', 0))) AS name
+    FROM {conversations}) AS w WHERE name <> ''"""
+
+
+@query("""
+    WITH names AS (SELECT DISTINCT name, lower(name) AS word FROM (
+             SELECT unnest([regexp_extract(text, '^[A-Za-z]+'), regexp_extract(text, '^[A-Za-z]+[^A-Za-z]+[A-Za-z]+')]) AS name
+             FROM {conversations}) AS w WHERE name <> ''),
+    texts AS (SELECT concat('CVE-', CAST(doc_id AS STRING)) AS external_id, lower(text) AS description FROM {documents})
+    SELECT name, external_id FROM names JOIN texts ON contains(description, word)""")
+def nvd_text_matches(d):
+    """Names of one run and of several, also inside longer words; the twin looks into every text for every name."""
+    cves = d.table("documents").selectExpr(
+        "concat('CVE-', doc_id) AS external_id", "n_chars AS published_at", "text AS description"
+    )
+    return matching.match_nvd(d.sql(TURN_NAMES), cves).select("name", "external_id")
 
 
 @query("""

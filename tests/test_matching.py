@@ -85,6 +85,23 @@ def test_github_takes_the_newest_ten(spark):
 
 
 def test_nvd_equals_brute_force(spark):
+    texts = ["A flaw in Left-Pad allows x.", "left-pad, again", "leftpad only", "The react core (react) fails.", "REACT!", "preact is fine", "",
+             "in `react`", "*react* [react]", "react/fp and react-dom", "lib/left-pad.js", "éreact", None, "two\nlines of .net", "😀😀 emoji", "C++ and Z"]
+    cves = spark.createDataFrame([(f"C{i}", i, t) for i, t in enumerate(texts)], "external_id STRING, published_at INT, description STRING")
+    known = ["left-pad", "React", "react", "fails", "none", "act", "re", "z", "c++", ".NET", "o\nlines o", "éREACT", "😀", "😀 e", "?", "react react", "", None]
+    want, newest = set(), set()
+    for name in filter(None, known):
+        hits = [i for i, t in enumerate(texts) if t and name.lower() in t.lower()]
+        want |= {(name, f"C{i}") for i in hits}
+        newest |= {(name, f"C{i}") for i in sorted(hits, reverse=True)[:2]}
+    packages = pkgs(spark, *((name, "1", "npm") for name in known for _ in range(2)))
+    assert {("react", "C5"), ("😀", "C14"), ("re", "C11"), ("left-pad", "C10")} <= want
+    assert sorted((r.name, r.external_id) for r in matching.match_nvd(packages, cves).collect()) == sorted(want)
+    assert {(r.name, r.external_id) for r in matching.match_nvd(packages, cves, k=2).collect()} == newest
+    assert matching.match_nvd(packages, cves.limit(0)).count() == 0 == matching.match_nvd(packages.limit(0), cves).count()
+
+
+def test_nvd_of_whole_runs_equals_brute_force(spark):
     texts = ["A flaw in Left-Pad allows x.", "left-pad, again", "leftpad only", "The react core (react) fails.", "REACT!", "preact is fine", "",
              "in `react`", "*react* [react]", "react/fp and react-dom", "lib/left-pad.js", "éreact"]
     cves = spark.createDataFrame([(f"C{i}", i, t) for i, t in enumerate(texts)], "external_id STRING, published_at INT, description STRING")
@@ -96,13 +113,25 @@ def test_nvd_equals_brute_force(spark):
         hits = [i for i, t in enumerate(texts) if runs[0] in regex.findall(r"[\p{L}\p{N}]+", t.lower()) and name.lower() in t.lower()]
         want |= {(name, f"C{i}") for i in hits}
         newest |= {(name, f"C{i}") for i in sorted(hits, reverse=True)[:2]}
-    assert {(r.name, r.external_id) for r in matching.match_nvd(packages, cves).collect()} == want
+    assert {(r.name, r.external_id) for r in matching.match_nvd(packages, cves, whole_runs=True).collect()} == want
     assert ("react", "C7") in want and ("react", "C9") in want and ("left-pad", "C10") in want
-    got = matching.match_nvd(packages, cves, k=2)
+    got = matching.match_nvd(packages, cves, k=2, whole_runs=True)
     assert {(r.name, r.external_id) for r in got.collect()} == newest
     assert got.filter("NOT contains(lower(description), lower(name))").count() == 0
 
 
+def test_nvd_candidates_come_from_the_rarest_gram(spark):
+    cves = spark.createDataFrame([(f"C{i}", i, "common words react" + (" zq9" if i == 5 else "")) for i in range(50)],
+                                 "external_id STRING, published_at INT, description STRING")
+    names = spark.createDataFrame([("react zq9",), ("react zq8",)], "word STRING")
+    grams = matching.name_grams(names)
+    index = matching.gram_index(cves, grams.select("gram").distinct())
+    held = {r.gram: r["count"] for r in index.groupBy("gram").count().collect()}
+    assert held["rea"] == 50 and held["zq9"] == 1 and "zq8" not in held
+    hits = matching.match_nvd(pkgs(spark, ("react zq9", "1", "npm"), ("react zq8", "1", "npm")), cves)
+    assert [(r.name, r.external_id) for r in hits.collect()] == [("react zq9", "C5")]
+
+
 def test_severity_filter_prefers_the_request(spark):
     risks = spark.createDataFrame([("critical",), ("low",), ("safe",)], "severity STRING")
     kept = lambda *a: sorted(r.severity for r in filters.filter_severity(risks, *a).collect())
