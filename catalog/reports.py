@@ -248,29 +248,62 @@ def blocklist_rows(d):
     return reports(d).select("package_id", "listed_name").join(listed, "listed_name").drop("listed_name")
 
 
-@query(f"""
-    WITH adv AS (SELECT pp.project_id, count(DISTINCT ROW(a.external_id, a.source, a.cvss_score, a.severity, a.description, a.reference)) AS n
-                 FROM {{project_packages}} AS pp JOIN {{advisories}} AS a ON a.package_id = pp.package_id GROUP BY 1),
-    chg AS (SELECT pp.project_id, count(DISTINCT ROW(p.name, c.from_version, c.to_version, c.severity, c.description)) AS n
-            FROM {{project_packages}} AS pp JOIN ({CHANGES}) AS c ON c.package_id = pp.package_id
-            JOIN {{packages}} AS p ON p.package_id = pp.package_id GROUP BY 1),
-    comp AS (SELECT project_id, count(DISTINCT concat(name, '-', version)) AS n FROM {{project_packages}} JOIN {{packages}} USING (package_id) GROUP BY 1)
-    SELECT comp.project_id, '1.4' AS spec_version, CAST(comp.n AS INTEGER) AS components, CAST(coalesce(adv.n, 0) + coalesce(chg.n, 0) AS INTEGER) AS vulnerabilities
-    FROM comp LEFT JOIN adv USING (project_id) LEFT JOIN chg USING (project_id)""")
-def bills_of_materials(d):
-    fleet = d.adapter("project_packages").select("project_id", "package_id").join(d.adapter("packages"), "package_id")
+# Every field of an item in one text; a whole number of 60 bits is taken from its hash, and a project adds its items' numbers up.
+_ITEM_TEXT = "concat_ws('|', section, ref, {fields}, CAST(coalesce(score, -1.0) AS STRING))".format(
+    fields=", ".join(f"coalesce({c}, '-')" for c in ("name", "version", "source", "url", "severity", "method", "description")))
+BILLS_SQL = f"""
+    fleet AS (SELECT {{key}} AS project_id, p.package_id, p.name, p.version FROM {{{{project_packages}}}} AS pp
+              JOIN {{{{packages}}}} AS p ON p.package_id = pp.package_id {{join}}),
+    items AS (
+        SELECT DISTINCT project_id, 'components' AS section, concat(name, '-', version) AS ref, name, version, NULL AS source, NULL AS url,
+               CAST(NULL AS DOUBLE) AS score, NULL AS severity, NULL AS method, NULL AS description FROM fleet
+        UNION ALL SELECT DISTINCT project_id, 'vulnerabilities', external_id, NULL, NULL, CASE source WHEN 'osv' THEN 'OSV' WHEN 'github' THEN 'GitHub' ELSE 'NVD' END,
+               reference, CAST(cvss_score AS DOUBLE), severity, 'CVSSv3', description FROM fleet JOIN {{{{advisories}}}} AS a ON a.package_id = fleet.package_id
+        UNION ALL SELECT DISTINCT project_id, 'vulnerabilities', concat('RISKFRAME-VER-', name, '-', CAST(from_version AS STRING), '-', CAST(to_version AS STRING)),
+               NULL, NULL, 'riskframe-version-analysis', NULL, NULL, severity, 'other', description
+        FROM fleet JOIN ({CHANGES.replace('{', '{{').replace('}', '}}')}) AS c ON c.package_id = fleet.package_id)
+    SELECT project_id, '1.4' AS spec_version, CAST(count(*) FILTER (WHERE section = 'components') AS INTEGER) AS components,
+           CAST(count(*) FILTER (WHERE section <> 'components') AS INTEGER) AS vulnerabilities,
+           CAST(sum(CAST(concat('0x', left(md5({_ITEM_TEXT}), 10)) AS BIGINT)) AS BIGINT) AS fields
+    FROM items GROUP BY project_id"""
+
+
+def _bom_items(d, fleet):
     advisories = d.adapter("advisories").withColumn("references", F.array("reference"))
     changes = version_changes(d).select(
         "package_id", F.col("from_version").cast("string"), F.col("to_version").cast("string"), "severity", "description"
     )
-    boms = views.sbom(fleet, advisories, changes)
-    parts = boms.select(
-        "project_id", F.get_json_object("bom", "$.specVersion").alias("spec_version"),
-        F.json_array_length(F.get_json_object("bom", "$.components")).alias("components"),
-        F.json_array_length(F.get_json_object("bom", "$.vulnerabilities")).alias("vulnerabilities"),
-    )
-    # Each item stands in one part of a project's document.
-    return parts.groupBy("project_id", "spec_version").agg(*(F.sum(c).cast("int").alias(c) for c in ("components", "vulnerabilities")))
+    return views.sbom(fleet, advisories, changes)
+
+
+def _bom_sizes(items):
+    components = F.col("section") == "components"
+    number = F.conv(F.left(F.md5(F.expr(_ITEM_TEXT)), F.lit(10)), 16, 10).cast("bigint")
+    return items.groupBy("project_id").agg(
+        F.count_if(components).cast("int").alias("components"), F.count_if(~components).cast("int").alias("vulnerabilities"),
+        F.sum(number).alias("fields")).withColumn("spec_version", F.lit("1.4"))
+
+
+@query("WITH " + BILLS_SQL.format(key="pp.project_id", join=""))
+def bills_of_materials(d):
+    """Items of every project with all their fields, as counts and a sum over the fields."""
+    return _bom_sizes(_bom_items(d, d.adapter("project_packages").select("project_id", "package_id").join(d.adapter("packages"), "package_id")))
+
+
+@query("WITH " + BILLS_SQL.format(key="o_custkey", join="JOIN {orders} ON o_orderkey = pp.project_id"))
+def written_bills(d):
+    """One document per customer is written and read again; its fields are taken from the parsed documents."""
+    fleet = d.adapter("project_packages").join(d.table("orders"), F.col("o_orderkey") == F.col("project_id")).select(
+        F.col("o_custkey").alias("project_id"), "package_id").join(d.adapter("packages"), "package_id")
+    path = scratch_path(d.spark, "bills")
+    views.write_sbom(_bom_items(d, fleet), path)
+    docs = views.read_sbom(d.spark, path).filter("bom.specVersion = '1.4'").select(F.col("project").cast("bigint").alias("project_id"), "bom.*")
+    none, items = F.lit(None).cast("string"), ["name", "version", "source", "url", "severity", "method", "description"]
+    parts = docs.select("project_id", F.lit("components").alias("section"), F.inline("components").alias("ref", "name", "version"))
+    found = docs.select("project_id", F.lit("vulnerabilities").alias("section"), F.explode("vulnerabilities").alias("v")).select(
+        "project_id", "section", F.col("v.id").alias("ref"), F.col("v.source.name").alias("source"), "v.source.url", "v.description", F.inline("v.ratings"))
+    rows = parts.unionByName(found, allowMissingColumns=True)
+    return _bom_sizes(rows.select("project_id", "section", "ref", "score", *(F.coalesce(F.col(c), none).alias(c) for c in items)))
 
 
 @query(f"""
