@@ -48,6 +48,19 @@ def streamed_severity_counts(d):
     return stored.groupBy("project_id").agg(F.max_by(F.struct(*fields), "batch").alias("now")).select("project_id", "now.*")
 
 
+@query("""
+    SELECT project_id, severity, count(*) AS packages FROM (
+        SELECT project_id, severity, row_number() OVER (PARTITION BY project_id, event_id % 20 ORDER BY scanned_at DESC, event_id DESC) AS nth
+        FROM {risk_events}) AS x WHERE nth = 1 GROUP BY project_id, severity""")
+def streamed_current_counts(d):
+    """Every package counts once, under its last severity, though its scans arrive over several batches in any order."""
+    landed = scratch_path(d.spark, "risk-events")
+    d.adapter("risk_events").repartition(4, "event_id").write.parquet(landed)
+    rows = d.spark.readStream.schema(d.spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    changes = watch.severity_changes(rows.withColumn("package_id", F.col("event_id") % 20))
+    return watch.current_counts(_run(d, "changes", lambda p, c: watch.store_changes(changes, p, c)))
+
+
 @query(f"SELECT file_name, count(*) AS landed FROM ({ARRIVALS}) AS x WHERE event_id % 12 < 8 GROUP BY file_name")
 def streamed_rescans(d):
     arrivals = lock_events(d.sql(ARRIVALS, events=_stream(d, "events")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskframe.operators.detection import detect_files
 from riskframe.operators.evidence import severity_counts
@@ -25,10 +27,10 @@ MAX_FILES = 1_000
 def watch_manifests(spark: SparkSession, path: str, glob: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
     """Stream of newly landed lock files. The file source sees new files, not edits in
     place, so every version of a lock lands in a new folder `<project>/<landing>/<file>`."""
-    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return describe_files(reader.text(path), path).filter(F.col("file_name").isin(*WATCHED))
+    return describe_files(reader.text(path, wholetext=True), path).filter(F.col("file_name").isin(*WATCHED))
 
 
 def changed_packages(root: str, assess: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -112,6 +114,52 @@ def running_severity_counts(risks: DataFrame, keys=("project_id",)) -> DataFrame
     return severity_counts(risks, keys)
 
 
+CHANGE = "project_id {0}, package_id {1}, severity STRING, change INT"
+
+
+def severity_changes(risks: DataFrame) -> DataFrame:
+    """Signed changes of the severity counts over a stream: +1 for a package's new severity, -1 for the one it had.
+
+    `risks`: project_id, package_id, severity, scanned_at, event_id. State is one row per (project, package): its last
+    severity and when it was scanned. An older scan that arrives late changes nothing; of equal times the larger event_id
+    counts, so the result does not depend on how rows fall into batches.
+    """
+    kinds = [risks.schema[c].dataType.simpleString() for c in ("project_id", "package_id")]
+    narrow = risks.select("project_id", "package_id", "severity", F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("at"),
+                          F.col("event_id").cast("bigint").alias("event_id"))
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get if state.exists else None
+        latest = before
+        for rows in batches:
+            if len(rows):
+                row = rows.sort_values(["at", "event_id"]).iloc[-1]
+                found = (int(row["at"]), int(row["event_id"]), row["severity"])
+                latest = found if latest is None or found[:2] > tuple(latest[:2]) else latest
+        if latest is not None and latest is not before:
+            state.update(tuple(latest))
+            old, new = before and before[2], latest[2]
+            if old != new:
+                changes = [(*key, s, n) for s, n in ((old, -1), (new, 1)) if s is not None]
+                yield pd.DataFrame(changes, columns=["project_id", "package_id", "severity", "change"])
+
+    return narrow.filter("at IS NOT NULL AND severity IS NOT NULL").groupBy("project_id", "package_id").applyInPandasWithState(
+        follow, CHANGE.format(*kinds), "at BIGINT, event_id BIGINT, severity STRING", "append", GroupStateTimeout.NoTimeout)
+
+
+def store_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep each batch's changes summed by project and severity; a repeated batch overwrites its own folder."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("project_id", "severity").agg(F.sum("change").alias("change")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return changes.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_counts(stored: DataFrame) -> DataFrame:
+    """Packages per project and severity now, from the stored changes; severities without a package are left out."""
+    return stored.groupBy("project_id", "severity").agg(F.sum("change").alias("packages")).filter("packages <> 0")
+
+
 def store_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the changed counts of every batch; the newest row per key is current."""
     def body(batch: DataFrame, batch_id: int) -> None:

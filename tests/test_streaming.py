@@ -14,7 +14,7 @@ def land(root, project, landing, name, content):
 
 def test_rescans_follow_landed_locks(spark, tmp_path):
     root, out, progress = tmp_path / "in", tmp_path / "out", tmp_path / "progress"
-    pip = lambda v: '{"default":{"a":{"version":"==%s"}}}' % v
+    pip = lambda v: '{"default":{\n"a":{"version":"==%s"}}}' % v
     land(root, "one", 1, "Pipfile.lock", pip(1))
     land(root, "one", 1, "notes.txt", "ignored")
 
@@ -83,3 +83,23 @@ def test_running_counts(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out"))
     last = stored.groupBy("project_id").agg(F.max_by("total_packages", "batch").alias("n"), F.max_by("high_count", "batch").alias("h"))
     assert sorted(map(tuple, last.collect())) == [(0, 10, 5), (1, 10, 5), (2, 10, 5)] and stored.select("batch").distinct().count() == 3
+
+
+def test_counts_take_a_changed_severity_back(spark, tmp_path):
+    from datetime import datetime
+    schema = "project_id STRING, package_id INT, severity STRING, scanned_at TIMESTAMP, event_id INT"
+    at = lambda day: datetime(2024, 1, day)
+    landings = [
+        [("p", 1, "high", at(2), 1), ("p", 1, "low", at(1), 2), ("p", 2, "safe", at(1), 3), (None, 1, "low", at(1), 4)],
+        [("p", 1, "critical", at(3), 5), ("p", 2, "high", at(1), 2), ("q", 1, "low", at(1), 6), ("p", 3, None, at(1), 7)],
+        [("p", 1, "high", at(1), 8), ("p", 2, "medium", at(1), 9), ("q", 1, "low", at(5), 10), ("q", 2, "low", None, 11)],
+    ]
+    wanted = [
+        {("p", "high", 1), ("p", "safe", 1), (None, "low", 1)}, {("p", "critical", 1), ("p", "safe", 1), ("q", "low", 1), (None, "low", 1)},
+        {("p", "critical", 1), ("p", "medium", 1), ("q", "low", 1), (None, "low", 1)},
+    ]
+    for n, (landing, want) in enumerate(zip(landings, wanted)):
+        spark.createDataFrame(landing, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        watch.store_changes(watch.severity_changes(stream), str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+        assert set(map(tuple, watch.current_counts(spark.read.parquet(str(tmp_path / "out"))).collect())) == want, n
