@@ -153,53 +153,56 @@ STRUCTURAL_RULES = (
 RULES = PATTERN_RULES + STRUCTURAL_RULES
 
 # Techniques each kind of detection maps to (id, name, tactic, url, text).
-_ATTACK = "https://attack.mitre.org/techniques/"
-_SUPPLY = (
-    "Adversaries may manipulate {} prior to receipt by a final consumer for the purpose "
-    "of data or system compromise."
-)
 TECHNIQUES = {
     "credential_harvesting": (
-        ("T1552", "Unsecured Credentials", "Credential Access", _ATTACK + "T1552/",
+        ("T1552", "Unsecured Credentials", "Credential Access",
+         "https://attack.mitre.org/techniques/T1552/",
          "Adversaries may search compromised systems to find and obtain insecurely stored "
          "credentials."),
-        ("T1552.001", "Credentials In Files", "Credential Access", _ATTACK + "T1552/001/",
+        ("T1552.001", "Credentials In Files", "Credential Access",
+         "https://attack.mitre.org/techniques/T1552/001/",
          "Adversaries may search local file systems and remote file shares for files containing "
          "insecurely stored credentials."),
     ),
     "network_exfiltration": (
-        ("T1041", "Exfiltration Over C2 Channel", "Exfiltration", _ATTACK + "T1041/",
+        ("T1041", "Exfiltration Over C2 Channel", "Exfiltration",
+         "https://attack.mitre.org/techniques/T1041/",
          "Adversaries may steal data by exfiltrating it over an existing command and control "
          "channel."),
         ("T1071.001", "Application Layer Protocol: Web Protocols", "Command and Control",
-         _ATTACK + "T1071/001/",
+         "https://attack.mitre.org/techniques/T1071/001/",
          "Adversaries may communicate using application layer protocols associated with web "
          "traffic."),
     ),
     "crypto_mining": (
-        ("T1496", "Resource Hijacking", "Impact", _ATTACK + "T1496/",
+        ("T1496", "Resource Hijacking", "Impact",
+         "https://attack.mitre.org/techniques/T1496/",
          "Adversaries may leverage the resources of co-opted systems in order to solve resource "
          "intensive problems such as cryptocurrency mining."),
     ),
     "install_hook": (
         ("T1195.001", "Compromise Software Dependencies and Development Tools", "Initial Access",
-         _ATTACK + "T1195/001/",
-         _SUPPLY.format("software dependencies and development tools")),
+         "https://attack.mitre.org/techniques/T1195/001/",
+         "Adversaries may manipulate software dependencies and development tools prior to receipt by a final consumer for the purpose of data or system compromise."),
     ),
     "typosquatting": (
-        ("T1195", "Supply Chain Compromise", "Initial Access", _ATTACK + "T1195/",
-         _SUPPLY.format("products or product delivery mechanisms")),
+        ("T1195", "Supply Chain Compromise", "Initial Access",
+         "https://attack.mitre.org/techniques/T1195/",
+         "Adversaries may manipulate products or product delivery mechanisms prior to receipt by a final consumer for the purpose of data or system compromise."),
     ),
     "obfuscated_code": (
-        ("T1027", "Obfuscated Files or Information", "Defense Evasion", _ATTACK + "T1027/",
+        ("T1027", "Obfuscated Files or Information", "Defense Evasion",
+         "https://attack.mitre.org/techniques/T1027/",
          "Adversaries may attempt to make an executable or file difficult to discover or analyze "
          "by encrypting, encoding, or otherwise obfuscating its contents."),
     ),
     "reverseshell_code": (
-        ("T1059", "Command and Scripting Interpreter", "Execution", _ATTACK + "T1059/",
+        ("T1059", "Command and Scripting Interpreter", "Execution",
+         "https://attack.mitre.org/techniques/T1059/",
          "Adversaries may abuse command and script interpreters to execute commands, scripts, or "
          "binaries."),
-        ("T1105", "Ingress Tool Transfer", "Command and Control", _ATTACK + "T1105/",
+        ("T1105", "Ingress Tool Transfer", "Command and Control",
+         "https://attack.mitre.org/techniques/T1105/",
          "Adversaries may transfer tools or other files from an external system into a "
          "compromised environment."),
     ),
