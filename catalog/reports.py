@@ -298,12 +298,16 @@ def written_bills(d):
     path = scratch_path(d.spark, "bills")
     views.write_sbom(_bom_items(d, fleet), path)
     docs = views.read_sbom(d.spark, path).filter("bom.specVersion = '1.4'").select(F.col("project").cast("bigint").alias("project_id"), "bom.*")
-    none, items = F.lit(None).cast("string"), ["name", "version", "source", "url", "severity", "method", "description"]
-    parts = docs.select("project_id", F.lit("components").alias("section"), F.inline("components").alias("ref", "name", "version"))
-    found = docs.select("project_id", F.lit("vulnerabilities").alias("section"), F.explode("vulnerabilities").alias("v")).select(
-        "project_id", "section", F.col("v.id").alias("ref"), F.col("v.source.name").alias("source"), "v.source.url", "v.description", F.inline("v.ratings"))
-    rows = parts.unionByName(found, allowMissingColumns=True)
-    return _bom_sizes(rows.select("project_id", "section", "ref", "score", *(F.coalesce(F.col(c), none).alias(c) for c in items)))
+    none = F.lit(None).cast("string")
+    part = lambda c: F.struct(
+        F.lit("components").alias("section"), c["bom-ref"].alias("ref"), c["name"].alias("name"), c["version"].alias("version"), none.alias("source"),
+        none.alias("url"), F.lit(None).cast("double").alias("score"), none.alias("severity"), none.alias("method"), none.alias("description"))
+    found = lambda v: F.struct(
+        F.lit("vulnerabilities").alias("section"), v["id"].alias("ref"), none.alias("name"), none.alias("version"), v["source"]["name"].alias("source"),
+        v["source"]["url"].alias("url"), v["ratings"][0]["score"].alias("score"), v["ratings"][0]["severity"].alias("severity"),
+        v["ratings"][0]["method"].alias("method"), v["description"].alias("description"))
+    rows = docs.select("project_id", F.inline(F.concat(F.transform("components", part), F.transform("vulnerabilities", found))))
+    return _bom_sizes(rows)
 
 
 @query(f"""
