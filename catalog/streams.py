@@ -17,9 +17,9 @@ from riskframe.streaming import watch
 
 
 def _stream(d, name):
-    """A table's file as a stream of files."""
-    schema = d.table(name).schema
-    return d.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d.sf_dir)
+    """A table as a stream of its files, whether it is one file or a folder of them; the brackets make a pattern of the
+    path, since the file source takes a plain path for a folder."""
+    return d.spark.readStream.schema(d.table(name).schema).parquet(f"{d.sf_dir}/{name}.parque[t]")
 
 
 def _run(d, name, start):

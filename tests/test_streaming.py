@@ -103,3 +103,13 @@ def test_counts_take_a_changed_severity_back(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         watch.store_changes(watch.severity_changes(stream), str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
         assert set(map(tuple, watch.current_counts(spark.read.parquet(str(tmp_path / "out"))).collect())) == want, n
+
+
+def test_streamed_queries_read_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    """The file source once saw only a table that is a single file."""
+    from catalog import QUERIES
+    for name in ("documents", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("streamed_findings", "streamed_severity_counts", "streamed_rescans"):
+        single, folder = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for sf in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert folder and folder == single
