@@ -66,9 +66,7 @@ PROJECT_ADVISORIES = """
     SELECT a.project_id, a.package_id, a.external_id FROM ({PROJECT_ADVISORIES}) AS a
     WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.project_id = a.project_id AND s.external_id = a.external_id)""")
 def suppressed_advisories(d):
-    return filters.drop_ignored_advisories(d.sql(PROJECT_ADVISORIES), d.sql(SUPPRESSED)).select(
-        "project_id", "package_id", "external_id"
-    )
+    return filters.advisories_of_projects(d.adapter("project_packages"), d.adapter("advisories"), d.sql(SUPPRESSED))
 
 
 ARRIVALS = """

@@ -55,6 +55,23 @@ def drop_ignored_advisories(advisories: DataFrame, ignored: DataFrame) -> DataFr
     return advisories.join(ignored, ["project_id", "external_id"], "left_anti")
 
 
+def advisories_of_projects(packages: DataFrame, advisories: DataFrame, ignored: DataFrame) -> DataFrame:
+    """(project_id, package_id, external_id) for every package of a project and advisory of it that the project does not suppress.
+
+    `packages`: project_id, package_id; `advisories`: package_id, external_id; `ignored`: project_id, external_id. Only the
+    three tables are shuffled, never the far larger result: each package carries the suppressed ids of its own
+    advisories, no more than the project's list has, and the join on the package leaves them out.
+    """
+    marks = ignored.select("project_id", "external_id").distinct()
+    hits = advisories.select("package_id", "external_id").join(marks, "external_id").distinct()
+    lists = packages.select("project_id", "package_id").distinct().join(hits, ["project_id", "package_id"]).groupBy(
+        "project_id", "package_id").agg(F.collect_list("external_id").alias("_ignored"))
+    carrying = packages.select("project_id", "package_id").join(lists, ["project_id", "package_id"], "left")
+    shown = F.coalesce(~F.array_contains("_ignored", F.col("external_id")), F.lit(True))
+    return carrying.join(advisories.select("package_id", "external_id"), "package_id").filter(shown).select(
+        "project_id", "package_id", "external_id")
+
+
 def lock_events(files: DataFrame) -> DataFrame:
     """Keep arrivals of known lock files; works on batches and streams."""
     return files.filter(F.col("file_name").isin(*LOCK_FILES))
