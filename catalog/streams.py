@@ -57,8 +57,8 @@ def streamed_current_counts(d):
     landed = scratch_path(d.spark, "risk-events")
     d.adapter("risk_events").repartition(4, "event_id").write.parquet(landed)
     rows = d.spark.readStream.schema(d.spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    changes = watch.severity_changes(rows.withColumn("package_id", F.col("event_id") % 20))
-    return watch.current_counts(_run(d, "changes", lambda p, c: watch.store_changes(changes, p, c)))
+    latest = watch.latest_severities(rows.withColumn("package_id", F.col("event_id") % 20))
+    return watch.latest_counts(_run(d, "latest", lambda p, c: watch.store_counts(latest, p, c)))
 
 
 @query(f"SELECT file_name, count(*) AS landed FROM ({ARRIVALS}) AS x WHERE event_id % 12 < 8 GROUP BY file_name")

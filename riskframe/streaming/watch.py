@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,6 +147,23 @@ def severity_changes(risks: DataFrame) -> DataFrame:
         follow, CHANGE.format(*kinds), "at BIGINT, event_id BIGINT, severity STRING", "append", GroupStateTimeout.NoTimeout)
 
 
+def latest_severities(risks: DataFrame, keys: Sequence[str] = ("project_id", "package_id")) -> DataFrame:
+    """The last severity of every (project, package) over a stream, for `store_counts`: a batch tells the packages it met.
+
+    Scans without time or severity count nothing, an older scan that arrives late changes nothing, and of equal times the larger
+    event_id counts. State is one row per package, kept by Spark's own aggregate, so no Python runs per package.
+    """
+    at, event = F.col("scanned_at").cast("timestamp").alias("at"), F.col("event_id").cast("bigint").alias("event_id")
+    told = risks.filter("scanned_at IS NOT NULL AND severity IS NOT NULL")
+    return told.groupBy(*keys).agg(F.max(F.struct(at, event, "severity")).alias("last")).select(*keys, "last.severity")
+
+
+def latest_counts(stored: DataFrame, keys: Sequence[str] = ("project_id", "package_id")) -> DataFrame:
+    """Packages per project and severity now, from the stored rows of `latest_severities`: a package's newest batch counts."""
+    now = stored.groupBy(*keys).agg(F.max_by("severity", "batch").alias("severity"))
+    return now.groupBy("project_id", "severity").agg(F.count("*").alias("packages"))
+
+
 def store_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep each batch's changes summed by project and severity; a repeated batch overwrites its own folder."""
     def body(batch: DataFrame, batch_id: int) -> None:

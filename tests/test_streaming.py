@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from riskframe.operators.detection import detect_files
@@ -113,3 +115,21 @@ def test_streamed_queries_read_a_table_that_is_a_folder_of_files(spark, tmp_path
     for name in ("streamed_findings", "streamed_severity_counts", "streamed_rescans"):
         single, folder = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for sf in ("/root/testdata/sf0.001", str(tmp_path)))
         assert folder and folder == single
+
+
+def test_latest_severities_take_back_without_python(spark, tmp_path):
+    schema = "project_id INT, package_id INT, severity STRING, scanned_at TIMESTAMP_NTZ, event_id BIGINT"
+    at = [datetime(2024, 1, d) for d in range(1, 6)]
+    landings = [
+        [(1, 7, "high", at[2], 1), (1, 8, "low", at[0], 2), (1, 7, "low", at[1], 3), (2, 7, None, at[3], 4)],
+        [(1, 7, "critical", at[0], 9), (1, 8, "high", at[0], 1), (2, 9, "low", None, 5)],
+        [(1, 7, "safe", at[2], 2), (1, 8, "high", at[0], 3), (1, 8, None, at[4], 8), (2, 9, "low", at[0], 6)],
+    ]
+    wanted = [{(1, "high", 1), (1, "low", 1)}, {(1, "high", 1), (1, "low", 1)}, {(1, "safe", 1), (1, "high", 1), (2, "low", 1)}]
+    for landing, want in zip(landings, wanted):
+        spark.createDataFrame(landing, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        latest = watch.latest_severities(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        run = watch.store_counts(latest, str(tmp_path / "out"), str(tmp_path / "p"))
+        run.awaitTermination()
+        assert "InPandas" not in run._jsq.explainInternal(False)
+        assert set(map(tuple, watch.latest_counts(spark.read.parquet(str(tmp_path / "out"))).collect())) == want
