@@ -1,11 +1,15 @@
 """Near-duplicates by the Jaccard similarity of their five-word shingles.
 
-Candidates come from MinHash bands: of 100 least hashes per text, twenty bands of five name the text's
-buckets, so a pair of similarity 0.8 shares a bucket with a chance of 0.9996 (at 0.9 all but
-one in fifty million). Every candidate is decided by the exact similarity of its shingle sets. Within a bucket all
-pairs count that chains of links have not joined yet: first each member meets the bucket's first one,
-then those outside the bucket's largest group meet all others, so a bucket of copies costs a
-comparison per member and no pair is left out.
+Candidates come from two methods, and every candidate is decided by the exact similarity of its shingle sets.
+
+* SimHash fingerprints of the shingle sets, searched within two bits by BK-trees (`simhash.links`): slightly changed copies.
+* MinHash bands, for what fingerprints miss: of 100 least hashes per text, twenty bands of five name the text's
+  buckets, so a pair of similarity 0.8 shares a bucket with a chance of 0.9996 (at 0.9 all but one in fifty million).
+
+Within a bucket all pairs count that chains of links have not joined yet. First each member meets the bucket's first one.
+Then texts leave that can have no further link: a link of two texts takes four ninths of all their shingles in common, and
+each has at most as many as stand in other open texts too. Of the others, those outside the bucket's largest group meet all,
+so a bucket of copies costs a comparison per member, also with copies changed beyond 0.8 among them, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from riskframe.llm.common import keep_rows
 from riskframe.llm.components import components
-from riskframe.llm.simhash import LOWER, SEED, membership
+from riskframe.llm.simhash import LOWER, SEED, links, membership
 from riskframe.session import durable, step
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -49,6 +53,15 @@ def shingles(body: bytes) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(body[s:e], SEED) for s, e in spans), np.uint64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of different shingles: a bit is 1 if over half of the hashes have it; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        some = hashes[at: at + HASHES_AT_ONCE].astype("<u8").view(np.uint8)
+        ones += np.unpackbits(some, bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def buckets(hashes: np.ndarray) -> list[int]:
     """A signed key per band."""
     if not len(hashes):
@@ -74,17 +87,18 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBat
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, print, n, buckets) for every row: a hash of the normal text, the number of its shingles, its buckets."""
+    """(doc_id, digest, print, n, bits, buckets) for every row: a hash of the normal text, the number of its shingles, their SimHash, its buckets."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, bodies, hashes in _portions(batch, 2):
                 prints = np.array([xxh64_intdigest(body, SEED) for body in bodies], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(prints), pa.array([len(h) for h in hashes], pa.int64()),
-                     pa.array([buckets(h) for h in hashes], pa.list_(pa.int64()))], ["doc_id", "digest", "print", "n", "buckets"])
+                     pa.array(np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)),
+                     pa.array([buckets(h) for h in hashes], pa.list_(pa.int64()))], ["doc_id", "digest", "print", "n", "bits", "buckets"])
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(docs["text"]).alias("digest"), docs["text"].alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, digest bigint, print bigint, n bigint, buckets array<bigint>")
+    return rows.mapInArrow(scan, "doc_id bigint, digest bigint, print bigint, n bigint, bits bigint, buckets array<bigint>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -99,11 +113,15 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("print", "text").mapInArrow(scan, "print bigint, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts are similar; their shingle sets are compared in the JVM, pair by pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(nodes.select("print", "digest"), "print")
+def sets_of(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(print, shingles) of the texts that `prints` (print) names, stored."""
+    wanted = prints.join(nodes.select("print", "digest"), "print")
     texts = docs.select(F.xxhash64(docs["text"]).alias("digest"), docs["text"].alias("text")).join(wanted, "digest")
-    sets = durable(shingle_sets(texts.dropDuplicates(["print"])), "candidates")
+    return durable(shingle_sets(texts.dropDuplicates(["print"])), "candidates")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts are similar; their shingle sets are compared in the JVM, pair by pair."""
     met = pairs.join(sets.select(F.col("print").alias("b"), F.col("shingles").alias("of_b")), "b") \
         .join(sets.select(F.col("print").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -111,38 +129,95 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return met.filter(SIMILARITY[1] * both >= SIMILARITY[0] * either).select("a", "b")
 
 
-def groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) for each of `nodes` (print, n, buckets, digest) that is similar to another."""
+def alike_in_size(n: str, other: str) -> Column:
+    return SIMILARITY[1] * F.least(n, other) >= SIMILARITY[0] * F.greatest(n, other)
+
+
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `nodes` (print, n, bits) by their fingerprints: texts of one fingerprint meet its first text, and
+    first texts meet where BK-trees link their fingerprints."""
+    first = durable(nodes.groupBy("bits").agg(F.min(F.struct("print", "n")).alias("first")), "fingerprints")
+    same = nodes.join(first, "bits").select("print", "n", F.col("first.print").alias("other"), F.col("first.n").alias("other_n"))
+    ends = [first.select(F.col("bits").alias(c), F.col("first.print").alias(p), F.col("first.n").alias(n))
+            for c, p, n in (("a", "print", "n"), ("b", "other", "other_n"))]
+    linked = links(first.select(F.col("bits").alias("print"))).distinct().join(ends[0], "a").join(ends[1], "b")
+    pairs = same.unionByName(linked.select(*same.columns)).filter((F.col("print") != F.col("other")) & alike_in_size("n", "other_n"))
+    return pairs.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b"))
+
+
+def open_members(now: DataFrame) -> DataFrame:
+    """Rows of `now` (bucket, print, n, root) in buckets of several roots, with the bucket's `largest` root and how many are `outside` it."""
+    sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("members"),
+                                          F.max("size").alias("size")).filter("members > size")
+    return now.join(largest, "bucket").withColumn("outside", F.col("members") - F.col("size"))
+
+
+def enough(shared: Column, n: Column | str, other: Column | str) -> Column:
+    """Whether texts of `n` and `other` shingles that have `shared` in common, or fewer, can be similar."""
+    return sum(SIMILARITY) * shared >= SIMILARITY[0] * (F.col(n) + F.col(other))
+
+
+def hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of `members` (bucket, print, n) that may be similar to another of their bucket, with their shingles that are not theirs alone as `shared`."""
+    held = sets.join(members.select("print").distinct(), "print", "left_semi").select("print", F.explode("shingles").alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("print").alias("print")).filter("texts = 1") \
+        .groupBy("print").agg(F.count("*").alias("alone"))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    counted = members.join(alone, "print", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return counted.join(least, "bucket").filter((SIMILARITY[1] * F.col("shared") >= SIMILARITY[0] * F.col("n")) & enough(F.col("shared"), "n", "least")) \
+        .select(*members.columns, "shared")
+
+
+def groups(nodes: DataFrame, docs: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(node, root) for each of `nodes` (print, n, buckets, digest) that is similar to another; `first` (a, b) are pairs to compare besides."""
     posted = nodes.select("print", "n", F.explode("buckets").alias("bucket"))
     shared = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    members = durable(posted.join(shared, "bucket"), "buckets")
-    roots = tried = edges = None
-    limit = 1
+    members = durable(posted.join(shared, "bucket").withColumn("shared", F.col("n")), "buckets")
+
+    def compared(now: DataFrame, leaders: DataFrame) -> DataFrame:
+        met = now.join(leaders, "bucket").filter(
+            (F.col("root") != F.col("leader_root")) & alike_in_size("n", "leader_n") & enough(F.least("shared", "leader_shared"), "n", "leader_n"))
+        return met.select(F.least("print", "leader").alias("a"), F.greatest("print", "leader").alias("b"))
+
+    def prints_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        now = members.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+        return durable(now.select("bucket", "print", "n", "shared", "root"), "rooted")
+
+    # Every member meets its bucket's first one.
+    leaders = members.groupBy("bucket").agg(F.min_by(F.struct("print", "n"), "print").alias("leader"))
+    leaders = leaders.select("bucket", F.col("leader.print").alias("leader"), F.col("leader.n").alias("leader_n"),
+                             F.col("leader.n").alias("leader_shared"), F.col("leader.print").alias("leader_root"))
+    pairs = compared(members.withColumn("root", F.col("print")), leaders)
+    tried = durable((pairs if first is None else pairs.unionByName(first)).distinct(), "pairs")
+    sets = sets_of(prints_of(tried), nodes, docs)
+    edges = durable(verified(tried, sets), "links")
+    roots = durable(components(edges), "roots")
+    # A bucket of two is decided now. In the others, texts that no other can be similar to leave.
+    left = durable(open_members(rooted(roots)).filter("members > 2").select("bucket", "print", "n"), "open")
+    lacking = left.select("print").distinct().join(sets.select("print"), "print", "left_anti")
+    sets = sets.unionByName(sets_of(lacking, nodes, docs))
+    members = durable(hopeful(left, sets), "hopeful")
+    limit = FIRST
     while True:
-        if roots is None:
-            now = members.withColumn("root", F.col("print"))
-            leaders = members.groupBy("bucket").agg(F.min_by(F.struct("print", "n"), "print").alias("leader"), F.count("*").alias("members"))
-            leaders = leaders.select("bucket", "leader.print", "leader.n", F.col("leader.print").alias("root"), (F.col("members") - 1).alias("outside"))
-        else:
-            now = members.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-            now = durable(now.select("bucket", "print", "n", "root"), "rooted")
-            sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("members"),
-                                                  F.max("size").alias("size")).filter("members > size")
-            outside = now.join(largest, "bucket").filter("root <> largest").withColumn("outside", F.col("members") - F.col("size"))
-            leaders = outside.selectExpr("*", "row_number() OVER (PARTITION BY bucket ORDER BY print) AS nth").filter(F.col("nth") <= limit)
-        leaders = durable(leaders.select("bucket", F.col("print").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"), "outside"), "leaders")
-        low, high = F.least("n", "leader_n"), F.greatest("n", "leader_n")
-        pairs = now.join(leaders, "bucket").filter((F.col("root") != F.col("leader_root")) & (SIMILARITY[1] * low >= SIMILARITY[0] * high)) \
-            .select(F.least("print", "leader").alias("a"), F.greatest("print", "leader").alias("b")).distinct()
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = durable(verified(pairs, nodes, docs), "links")
-        edges = found if edges is None else edges.union(found)
+        now = rooted(roots)
+        outside = open_members(now).filter("root <> largest")
+        leaders = outside.selectExpr("*", "row_number() OVER (PARTITION BY bucket ORDER BY print) AS nth").filter(F.col("nth") <= limit)
+        leaders = durable(leaders.select("bucket", F.col("print").alias("leader"), F.col("n").alias("leader_n"),
+                                         F.col("shared").alias("leader_shared"), F.col("root").alias("leader_root"), "outside"), "leaders")
+        most = leaders.agg(F.max("outside")).first()[0] or 0
+        if not most:
+            return roots
+        pairs = durable(compared(now, leaders).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        edges = edges.union(durable(verified(pairs, sets), "links"))
         roots = durable(components(edges), "roots")
-        if (leaders.agg(F.max("outside")).first()[0] or 0) <= limit:
+        if most <= limit:
             return roots
-        limit = FIRST if limit == 1 else limit * GROWTH
+        limit *= GROWTH
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,8 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = durable(signatures(docs), "signatures")
     nodes = durable(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.min("digest").alias("digest"), F.first("n").alias("n"),
-                                              F.first("buckets").alias("buckets")), "nodes")
-    return rows.select("doc_id", "digest", "print").join(membership(nodes.select("print", "least"), groups(nodes, docs)), "print").select(
+                                              F.first("bits").alias("bits"), F.first("buckets").alias("buckets")), "nodes")
+    roots = groups(nodes, docs, near_prints(nodes))
+    return rows.select("doc_id", "digest", "print").join(membership(nodes.select("print", "least"), roots), "print").select(
         "doc_id", "component_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "print", "digest")
 
 

@@ -97,3 +97,33 @@ def test_no_rows_repeated_rows_and_long_texts(left):
     assert left([]) == []
     long = " ".join(f"w{i}" for i in range(150_000))
     assert left([(1, long), (2, long + " end"), (3, None), (4, ""), (5, "a b"), (5, "a b"), (None, "c d")]) == [1, 3, 5, None]
+
+
+def test_fingerprints_link_copies_that_no_bucket_holds(left, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(900)}" for _ in range(2000)]
+    other = [f"v{rng.randrange(900)}" for _ in range(2000)]
+    monkeypatch.setattr(jaccard, "buckets", lambda hashes: [])
+    assert left([(1, " ".join(words)), (2, " ".join(words) + " end"), (3, " ".join(other))]) == [1, 3]
+
+
+def test_far_copies_of_one_text_cost_no_square_of_pairs(spark, monkeypatch):
+    rng, k = random.Random(12), 60
+    words = [f"w{n}" for n in range(200)]
+    texts = [" ".join(f"x{i}-{n}" if n in places else w for n, w in enumerate(words))
+             for i in range(k) for places in [set(rng.sample(range(0, 200, 6), 9 + i % 8))]]
+    texts += [" ".join(words[:n]) for n in range(195, 201)]  # these are links, the others are 0.6 to 0.78 from the text
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    nodes = jaccard.signatures(docs).select("print", "n", "digest", F.array(F.lit(1).cast("bigint")).alias("buckets"))
+    met, plain_verified = [], jaccard.verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return plain_verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    found = jaccard.groups(nodes, docs).collect()
+    sets = [plain(t) for t in texts]
+    linked = {i for i in range(len(texts)) for j in range(len(texts)) if i != j and similarity(sets[i], sets[j]) >= 0.8}
+    assert len(found) == len(linked) >= 6 and len({r["root"] for r in found}) == 1
+    assert sum(met) < 5 * len(texts), met
