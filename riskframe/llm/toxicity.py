@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -243,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
         table = rows.mapInPandas(work, "doc_id bigint, label int, buckets array<int>, counts array<int>").toArrow()
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-        lists = [[np.asarray(x.values, np.int64) for x in table.column(c)] for c in ("buckets", "counts")]
+        # Views of the table's own 32-bit numbers: the driver holds them once.
+        lists = [[x.values.to_numpy() for x in table.column(c)] for c in ("buckets", "counts")]
         return list(zip(*lists)), np.asarray(table.column("label"), np.int64), np.asarray(table.column("doc_id"), np.int64)
 
     def averages(weights):
@@ -262,8 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         return Model(rate)
     taught = np.flatnonzero(teaches)
     first = train([whole[i] for i in taught], known[taught])
+    del whole
     best = bags(spark.sparkContext.broadcast(first))[0]
     second = train([best[i] for i in taught], known[taught])
+    del best
+    pa.default_memory_pool().release_unused()
     weights = np.stack([first, second])
     left = averages(spark.sparkContext.broadcast(weights))
     left = left[left["doc_id"].isin(ids[~teaches])].sort_values(["doc_id", "label", "whole", "passage"])
