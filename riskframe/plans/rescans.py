@@ -12,6 +12,7 @@ from riskframe.operators.matching import match_blocklist, match_osv
 from riskframe.operators.published import Table
 from riskframe.plans.reports import save_scan
 from riskframe.plans.risk import score_packages
+from riskframe.session import durable
 
 NO_DETECTIONS = "package_id STRING, confidence DOUBLE"
 NO_CHANGES = "package_id STRING, severity STRING"
@@ -26,12 +27,14 @@ def assess(packages: DataFrame, affected: DataFrame, blocklist: DataFrame, detec
 
     `packages` is what `resolve_packages` gives. A package that many projects hold is matched and scored once, by
     (name, version, ecosystem). `affected` is as in `match_osv`; detections, changes and metrics
-    come with the `package_id` that `package_key` gives, and may be left out.
+    come with the `package_id` that `package_key` gives, and may be left out. The resolved packages are stored once: matching
+    and scoring use them many times, and each use would read and parse all manifests anew.
     """
     spark = packages.sparkSession
+    packages = durable(packages.select("project_id", "name", "version", "ecosystem", "is_direct", "is_dev", "depth"), "resolved")
     key = package_key(F.col("name"), F.col("version"), F.col("ecosystem")).alias("package_id")
-    held = packages.select("name", "version", "ecosystem").distinct()
-    advisories = match_osv(held, affected).select(key, "severity", "cvss_score")
+    held = durable(packages.select("name", "version", "ecosystem").distinct(), "held")
+    advisories = durable(match_osv(held, affected).select(key, "severity", "cvss_score"), "matched")
     reports = match_blocklist(held, blocklist).select(key, "severity")
     detections, changes, metrics = (
         spark.createDataFrame([], schema) if given is None else given

@@ -93,3 +93,18 @@ def test_summaries_of_the_same_scan_have_the_same_id(spark):
     one, two = (sorted(map(str, scan_summaries(risks, at).collect())) for _ in range(2))
     assert one == two and len(one) == 2
     assert scan_summaries(risks.limit(0), at).count() == 0
+
+
+def test_a_scan_resolves_its_packages_once(spark):
+    """Matching and scoring use the packages many times; the manifests behind them are parsed once."""
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            met.add(len(batch))
+            yield batch
+
+    packages = resolve_packages(files(spark, FLEET))
+    n = packages.count()
+    rows = assess(packages.mapInPandas(count, packages.schema), affected(spark), bundled_blocklist(spark))
+    assert rows.count() == n and met.value == n
