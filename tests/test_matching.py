@@ -148,3 +148,15 @@ def test_repository_url(spark):
     texts = ['{"repository":{"url":"u1"}}', '{"repository":"u2"}', '{"repository":{"type":"git"}}', "{}", "junk"]
     df = spark.createDataFrame([(t,) for t in texts], "json STRING")
     assert [r.u for r in df.select(matching.repository_url(F.col("json")).alias("u")).collect()] == ["u1", "u2", None, None, None]
+
+
+def test_names_anywhere_meet_texts_in_blocks_without_a_shuffle_of_hits(spark):
+    words = ["a", "ab", "react", "React", "re act", "zq9", "x" * 40, "text 1"]
+    texts = [(f"C{i}", f"{w.upper()} in text {i} preact"[: 40 + i]) for i, w in enumerate(words)] + [("N", None), ("E", "")]
+    cves = spark.createDataFrame(texts, "external_id STRING, description STRING")
+    packages = spark.createDataFrame([(w,) for w in words] + [("",), (None,)], "name STRING")
+    want = sorted((w, i) for w in words for i, t in texts if t and w.lower() in t.lower())
+    for block in (2, 100):
+        hits = matching.hits_anywhere(packages, cves, block)
+        assert sorted((r.name, r.external_id) for r in hits.collect()) == want
+        assert "hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
