@@ -188,3 +188,21 @@ def test_source_trees(spark, tmp_path):
     (folder / "i.js").write_text("a\nb")
     got = sorted(tuple(r) for r in read_source_lines(spark, str(tmp_path)).collect())
     assert got == [("@s/lib", "1.0.0", "src/i.js", 1, "a"), ("@s/lib", "1.0.0", "src/i.js", 2, "b")]
+
+
+def test_duplicates_inside_a_file_are_dropped_without_a_shuffle(spark):
+    files = spark.createDataFrame([
+        ("p", "requirements.txt", "a==1\nb==2\nA==3\n"), ("p", "go.mod", "require a v1\nrequire (\n b v1\n a v2 // indirect\n)\n"),
+        ("p", "package.json", '{"dependencies":{"a":"1","b":"1"},"devDependencies":{"a":"2"}}'),
+        ("p", "Pipfile.lock", '{"default":{"a-b":{"version":"==1"}},"develop":{"a.b":{"version":"==2"}}}'),
+        ("p", "Cargo.toml", '[dependencies]\na = "1"\na.version = "0"\n[build-dependencies]\na = "2"\nb = "3"\n'),
+        ("p", "pyproject.toml", '[tool.poetry.dependencies]\na = "1"\n[tool.poetry.group.dev.dependencies]\nA = "2"\n')],
+        "project_id STRING, file_name STRING, content STRING")
+    want = {
+        python.requirements_packages: {("A", "3"), ("b", "2")}, golang.go_mod_packages: {("a", "2"), ("b", "1")},
+        node.bun_manifest_packages: {("a", "2"), ("b", "1")}, python.pipfile_lock_packages: {("a.b", "2")},
+        cargo.cargo_toml_packages: {("a", "2"), ("b", "3")}, python.pyproject_packages: {("a", "0.0.0")}}
+    for reader, packages in want.items():
+        rows = reader(files)
+        assert sorted((r["name"], r["version"]) for r in rows.collect()) == sorted(packages), reader.__name__
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString(), reader.__name__
