@@ -8,8 +8,11 @@ Candidates come from two methods, and every candidate is decided by the exact si
 
 Within a bucket all pairs count that chains of links have not joined yet. First each member meets the bucket's first one.
 Then texts leave that can have no further link: a link of two texts takes four ninths of all their shingles in common, and
-each has at most as many as stand in other open texts too. Of the others, those outside the bucket's largest group meet all,
-so a bucket of copies costs a comparison per member, also with copies changed beyond 0.8 among them, and no pair is left out.
+each has at most as many as stand in other open texts too. The others meet the bucket's central text, the one with most such
+shingles: of copies changed at random places most are further apart than 0.8, but each is half as far from what they are copies of.
+Of those still open, the ones outside the bucket's largest group meet all whose bitmaps allow a link: a bit that only one of two
+texts sets is a shingle that the other lacks. So a bucket of copies costs few comparisons of sets per member, also with copies
+changed beyond 0.8 among them, and no link is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from riskframe.session import durable, step
 SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 20, 5
 FIRST, GROWTH = 16, 8
+CELLS = 16  # longs of a text's bitmap
 HASHES_AT_ONCE, HASHES_HELD = 1 << 12, 1 << 20
 
 _random = np.random.default_rng(SEED)
@@ -73,6 +77,13 @@ def buckets(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def cells(hashes: np.ndarray) -> list[int]:
+    """A bitmap in signed longs: each shingle sets the bit that its hash names."""
+    bits = np.zeros(64 * CELLS, np.uint8)
+    bits[(hashes % np.uint64(64 * CELLS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
     """Rows of a batch with their normal texts and shingles, in portions of bounded size."""
     at = 0
@@ -102,19 +113,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(print, shingles) of texts (print, text)."""
+    """(print, shingles, cells) of texts (print, text)."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, hashes in _portions(batch, 1):
                 edges = pa.array(np.cumsum([0, *map(len, hashes)]), pa.int32())
                 lists = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(hashes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["print", "shingles"])
+                bitmaps = pa.array([cells(h) for h in hashes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, bitmaps], ["print", "shingles", "cells"])
 
-    return texts.select("print", "text").mapInArrow(scan, "print bigint, shingles array<bigint>")
+    return texts.select("print", "text").mapInArrow(scan, "print bigint, shingles array<bigint>, cells array<bigint>")
 
 
 def sets_of(prints: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(print, shingles) of the texts that `prints` (print) names, stored."""
+    """(print, shingles, cells) of the texts that `prints` (print) names, stored."""
     wanted = prints.join(nodes.select("print", "digest"), "print")
     texts = docs.select(F.xxhash64(docs["text"]).alias("digest"), docs["text"].alias("text")).join(wanted, "digest")
     return durable(shingle_sets(texts.dropDuplicates(["print"])), "candidates")
@@ -158,56 +170,76 @@ def enough(shared: Column, n: Column | str, other: Column | str) -> Column:
     return sum(SIMILARITY) * shared >= SIMILARITY[0] * (F.col(n) + F.col(other))
 
 
+def lacking(cells: str, other: str) -> Column:
+    """How many shingles of the text with bitmap `cells` the other one lacks, at least."""
+    return sum(F.bit_count(F.get(cells, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(CELLS))
+
+
 def hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of `members` (bucket, print, n) that may be similar to another of their bucket, with their shingles that are not theirs alone as `shared`."""
+    """Rows of `members` (bucket, print, n) that may be similar to another of their bucket, with the number of their shingles
+    that are not theirs alone as `shared` and their `cells`."""
     held = sets.join(members.select("print").distinct(), "print", "left_semi").select("print", F.explode("shingles").alias("shingle"))
     alone = held.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("print").alias("print")).filter("texts = 1") \
         .groupBy("print").agg(F.count("*").alias("alone"))
     least = members.groupBy("bucket").agg(F.min("n").alias("least"))
     counted = members.join(alone, "print", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     return counted.join(least, "bucket").filter((SIMILARITY[1] * F.col("shared") >= SIMILARITY[0] * F.col("n")) & enough(F.col("shared"), "n", "least")) \
-        .select(*members.columns, "shared")
+        .join(sets.select("print", "cells"), "print").select(*members.columns, "shared", "cells")
 
 
 def groups(nodes: DataFrame, docs: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """(node, root) for each of `nodes` (print, n, buckets, digest) that is similar to another; `first` (a, b) are pairs to compare besides."""
     posted = nodes.select("print", "n", F.explode("buckets").alias("bucket"))
     shared = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    members = durable(posted.join(shared, "bucket").withColumn("shared", F.col("n")), "buckets")
+    members = durable(posted.join(shared, "bucket"), "buckets")
+
+    def led(leaders: DataFrame) -> DataFrame:
+        return leaders.withColumnsRenamed({"print": "leader", **{c: f"leader_{c}" for c in ("n", "shared", "cells", "root")}})
 
     def compared(now: DataFrame, leaders: DataFrame) -> DataFrame:
-        met = now.join(leaders, "bucket").filter(
-            (F.col("root") != F.col("leader_root")) & alike_in_size("n", "leader_n") & enough(F.least("shared", "leader_shared"), "n", "leader_n"))
+        may = (F.col("root") != F.col("leader_root")) & alike_in_size("n", "leader_n")
+        if "cells" in now.columns:
+            common = F.least("shared", "leader_shared", F.col("n") - lacking("cells", "leader_cells"), F.col("leader_n") - lacking("leader_cells", "cells"))
+            may = may & enough(common, "n", "leader_n")
+        met = now.join(leaders, "bucket").filter(may)
         return met.select(F.least("print", "leader").alias("a"), F.greatest("print", "leader").alias("b"))
 
     def prints_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
 
+    def leading(rows: DataFrame, first: Column) -> DataFrame:
+        """Each bucket's row of `rows` with the least `first` as its leader."""
+        fields = F.struct(*(c for c in rows.columns if c != "bucket"))
+        return led(rows.groupBy("bucket").agg(F.min_by(fields, first).alias("first")).select("bucket", "first.*"))
+
     def rooted(roots: DataFrame) -> DataFrame:
         now = members.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-        return durable(now.select("bucket", "print", "n", "shared", "root"), "rooted")
+        return durable(now, "rooted")
 
     # Every member meets its bucket's first one.
-    leaders = members.groupBy("bucket").agg(F.min_by(F.struct("print", "n"), "print").alias("leader"))
-    leaders = leaders.select("bucket", F.col("leader.print").alias("leader"), F.col("leader.n").alias("leader_n"),
-                             F.col("leader.n").alias("leader_shared"), F.col("leader.print").alias("leader_root"))
-    pairs = compared(members.withColumn("root", F.col("print")), leaders)
+    alone = members.withColumn("root", F.col("print"))
+    pairs = compared(alone, leading(alone, F.col("print")))
     tried = durable((pairs if first is None else pairs.unionByName(first)).distinct(), "pairs")
     sets = sets_of(prints_of(tried), nodes, docs)
     edges = durable(verified(tried, sets), "links")
     roots = durable(components(edges), "roots")
     # A bucket of two is decided now. In the others, texts that no other can be similar to leave.
     left = durable(open_members(rooted(roots)).filter("members > 2").select("bucket", "print", "n"), "open")
-    lacking = left.select("print").distinct().join(sets.select("print"), "print", "left_anti")
-    sets = sets.unionByName(sets_of(lacking, nodes, docs))
+    unread = left.select("print").distinct().join(sets.select("print"), "print", "left_anti")
+    sets = sets.unionByName(sets_of(unread, nodes, docs))
     members = durable(hopeful(left, sets), "hopeful")
+    # Those left meet their bucket's central text.
+    now = rooted(roots)
+    pairs = durable(compared(now, leading(now, F.struct(-F.col("shared"), "print"))).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried = tried.union(pairs)
+    edges = edges.union(durable(verified(pairs, sets), "links"))
+    roots = durable(components(edges), "roots")
     limit = FIRST
     while True:
         now = rooted(roots)
         outside = open_members(now).filter("root <> largest")
-        leaders = outside.selectExpr("*", "row_number() OVER (PARTITION BY bucket ORDER BY print) AS nth").filter(F.col("nth") <= limit)
-        leaders = durable(leaders.select("bucket", F.col("print").alias("leader"), F.col("n").alias("leader_n"),
-                                         F.col("shared").alias("leader_shared"), F.col("root").alias("leader_root"), "outside"), "leaders")
+        leaders = outside.selectExpr("*", "row_number() OVER (PARTITION BY bucket ORDER BY shared DESC, print) AS nth").filter(F.col("nth") <= limit)
+        leaders = durable(led(leaders.select(*now.columns, "outside")), "leaders")
         most = leaders.agg(F.max("outside")).first()[0] or 0
         if not most:
             return roots

@@ -127,3 +127,40 @@ def test_far_copies_of_one_text_cost_no_square_of_pairs(spark, monkeypatch):
     linked = {i for i in range(len(texts)) for j in range(len(texts)) if i != j and similarity(sets[i], sets[j]) >= 0.8}
     assert len(found) == len(linked) >= 6 and len({r["root"] for r in found}) == 1
     assert sum(met) < 5 * len(texts), met
+
+
+def test_copies_just_too_far_apart_cost_no_square_of_pairs(spark, monkeypatch):
+    rng, words, texts = random.Random(13), [f"w{n}" for n in range(150)], []
+    for i in range(80):  # half are links of the plain text, half, cut short, hardly of any, though no count of shingles says so
+        places = [rng.randrange(5, 40) + 45 * k for k in range(2 + i % 2)]
+        texts.append(" ".join(f"x{i}-{n}" if n in places else w for n, w in enumerate(words[: 150 if i % 2 else 135])))
+    texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    nodes = jaccard.signatures(docs).select("print", "n", "digest", F.array(F.lit(1).cast("bigint")).alias("buckets"))
+    met, plain_verified = [], jaccard.verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return plain_verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    found = jaccard.groups(nodes, docs).collect()
+    sets = [plain(t) for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and similarity(sets[i], sets[j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    sizes = [n for n in map(root.count, set(root)) if n > 1]
+    assert len(found) == sum(sizes) and len({r["root"] for r in found}) == len(sizes)
+    assert sum(met) < 4 * len(texts), met
+
+
+def test_bitmaps_never_claim_more_than_a_text_lacks(spark):
+    rng, rows = random.Random(14), []
+    for _ in range(50):
+        a, b = ({rng.randrange(1 << 63) for _ in range(rng.choice((0, 1, 40, 3000)))} for _ in range(2))
+        b |= set(list(a)[: len(a) // 2])
+        rows.append((*(jaccard.cells(jaccard.np.array(sorted(s), "u8")) for s in (a, b)), len(a - b)))
+    least = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, lacks bigint").select(jaccard.lacking("a", "b").alias("least"), "lacks").collect()
+    assert all(r.least <= r.lacks for r in least) and any(r.least > 30 for r in least)
