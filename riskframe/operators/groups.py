@@ -32,15 +32,16 @@ def _link(pinned: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFra
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Add the 1-based position of each row in its group. (keys, order) must be unique."""
-    pinned = _slices(df, keys, order)
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # A slice is sorted when it is stored, so its rows are numbered there and a group's rows in it have neighbouring numbers.
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    pinned = durable(ranged.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pinned.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).select(
-        *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    offsets = pinned.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select(
+        *keys, "_slice", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     return (
-        _link(pinned.withColumn("_local", F.row_number().over(local)), offsets, keys)
-        .withColumn(out, F.col("_before") + F.col("_local"))
+        _link(pinned, offsets, keys)
+        .withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1)
         .select(*df.columns, out)
     )
 

@@ -97,3 +97,8 @@ def test_long_change_lists_come_in_parts(spark):
     many = member_change_text(changes, max_items=10).collect()
     assert len(one) == 1 and one[0].members.split(", ") == [f"f{i:03}" for i in range(50)]
     assert len(many) > 1 and sorted(sum((r.members.split(", ") for r in many), [])) == [f"f{i:03}" for i in range(50)]
+
+
+def test_numbered_rows_are_not_shuffled_for_a_window(spark):
+    plan = spark._jvm.PythonSQLUtils.explainString(number_rows(hot(spark), ["k"], ["i"], "p")._jdf.queryExecution(), "simple")
+    assert "row_number" not in plan and "_at" in plan
