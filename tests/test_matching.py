@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import filters, matching
+from riskframe.operators import filters, matching, words
 from riskframe.sources.files import bundled_blocklist, read_blocklist
 
 
@@ -160,3 +162,32 @@ def test_names_anywhere_meet_texts_in_blocks_without_a_shuffle_of_hits(spark):
         hits = matching.hits_anywhere(packages, cves, block)
         assert sorted((r.name, r.external_id) for r in hits.collect()) == want
         assert "hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_pass_over_a_text_finds_all_words():
+    """However many words share a gram or end inside another, each byte of a text is looked at once."""
+    random.seed(5)
+    known = ["".join(random.choices("ab é", k=random.randrange(1, 9))) for _ in range(300)] + ["a" * 400]
+    start = words.automaton([(w.encode(), f"{w}{n}") for n, w in enumerate(known)])
+
+    class Counted(bytes):
+        steps = 0
+
+        def __iter__(self):
+            for byte in super().__iter__():
+                Counted.steps += 1
+                yield byte
+
+    for text in ("", "a" * 500, "é", *("".join(random.choices("ab é", k=200)) for _ in range(20))):
+        Counted.steps = 0
+        found = words.names_in(start, Counted(text.encode()))
+        assert sorted(found) == sorted(f"{w}{n}" for n, w in enumerate(known) if w in text) and Counted.steps == len(text.encode())
+
+
+def test_texts_meet_words_without_a_row_per_candidate(spark):
+    """All names share their rarest gram with all texts, so candidates would be names times texts; only hits become rows."""
+    cves = spark.range(200).selectExpr("concat('C', id) AS external_id", "concat('qqq', id, ' end') AS description")
+    packages = spark.range(200).selectExpr("concat('qqq', id, ' end') AS name")
+    hits = matching.hits_anywhere(packages, cves)
+    assert hits.count() == 200 and hits.filter("name <> description").count() == 0
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
