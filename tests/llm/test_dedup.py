@@ -183,6 +183,44 @@ def test_repeated_passages_equal_brute_force(docs, window):
         assert longest[100] == longest[102] == 0 and longest[103] == 50 and max(longest.values()) in (100, 200, 400)
 
 
+def plain_longest(rows, window):
+    """Of each document the greatest of 1, 2, 4, ... times `window` at which it has a window of an earlier one; 0 if none."""
+    longest, length = {i: 0 for i, _ in rows}, window
+    words = [(i, find_words(t or "")) for i, t in rows]
+    while any(len(w) >= length for _, w in words):
+        starts = {}
+        for i, w in words:
+            for p in range(len(w) - length + 1):
+                key = " ".join(w[p: p + length])
+                starts[key] = min(starts.get(key, i), i)
+        for i, w in words:
+            if any(starts[" ".join(w[p: p + length])] < i for p in range(len(w) - length + 1)):
+                longest[i] = length
+        length *= 2
+    return longest
+
+
+@pytest.mark.parametrize("window", [50, 8])
+def test_longest_equals_brute_force(docs, window):
+    """Also for passages barely longer than a level, at the ends of what was copied, and for a passage of one repeated word."""
+    random.seed(window + 1)
+    vocabulary = [f"w{i}" for i in range(300)]
+    fill = lambda n: random.choices(vocabulary, k=n)
+    texts = [["same"] * (window * 2), ["same"] * (window * 2 + 3) + fill(9), ["same"] * (window * 2 - 1)]
+    whole = fill(window * 9)
+    texts += [whole, fill(5) + whole[3:-4], whole[window: window * 5] + fill(3), whole + whole]
+    for n in (2, 2.3, 4, 4.1, 3.98, 1.9, 8):
+        passage = fill(round(window * n))
+        for _ in range(random.choice((2, 3))):
+            texts.append(fill(random.choice((0, 1, 40))) + passage + fill(random.choice((0, 2, 60))))
+        texts.append(fill(4) + passage[: len(passage) // 2] + fill(1) + passage[len(passage) // 2:])
+    random.shuffle(texts)
+    rows = [(i * 3 + 1, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["longest"] for r in substring.without_repeats(docs(*rows), window).collect()}
+    want = plain_longest(rows, window)
+    assert found == want and {0, window, window * 2, window * 4, window * 8} <= set(want.values())
+
+
 def test_empty_tables(docs):
     none = docs()
     assert exact.exact_duplicates(none).count() == 0 and exact.drop_exact_duplicates(none).count() == 0
