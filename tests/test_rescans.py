@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskframe.operators.published import Published
 from riskframe.plans.rescans import assess, scan_summaries, scored_scan
 from riskframe.sources.files import bundled_blocklist, land_manifests
-from riskframe.sources.manifests import resolve_packages
+from riskframe.sources.manifests import READERS, resolve_packages
 from riskframe.streaming import watch
 
 FILES = "project_id STRING, path STRING, file_name STRING, content STRING"
@@ -108,3 +108,13 @@ def test_a_scan_resolves_its_packages_once(spark):
     n = packages.count()
     rows = assess(packages.mapInPandas(count, packages.schema), affected(spark), bundled_blocklist(spark))
     assert rows.count() == n and met.value == n
+
+
+def test_the_choice_of_files_is_made_once(spark):
+    """Not by every reader again; and a lock that is chosen wherever it is meets no choice."""
+    found = resolve_packages(files(spark, [*FLEET, (None, "poetry.lock", '[[package]]\nname = "x"\nversion = "1"\n'),
+                                           ("five", "poetry.lock", '[[package]]\nname = "y"\nversion = "2"\n'), ("five", "requirements.txt", "z==1\n")]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(file_name" not in plan and plan.count("Join LeftSemi") == len({*READERS.values()}) - 2
+    assert sorted((r.project_id, r.name) for r in found.collect()) == [
+        ("five", "y"), ("four", "serde"), ("one", "event-stream"), ("one", "web"), ("quiet", "x"), ("three", "mod/a"), ("two", "tool")]
