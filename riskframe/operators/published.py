@@ -67,15 +67,21 @@ class Published:
     def _folder(self, name: str, batch: str, token: str) -> str:
         return f"{self.path}/{name}/{batch}-{token}"
 
-    def read(self, name: str) -> DataFrame:
-        """A table's rows of all published batches, with their `batch` as text."""
-        folders = [self._folder(name, b, t) for b, t in sorted(self.batches().items())]
+    def read(self, name: str, batches: dict[str, str] | None = None) -> DataFrame:
+        """A table's rows of all published batches, or of those given, with their `batch` as text."""
+        folders = [self._folder(name, b, t) for b, t in sorted((self.batches() if batches is None else batches).items())]
         if not folders:
             raise ValueError(f"nothing is published under {self.path}")
         return self.spark.read.parquet(*folders)
 
     def current(self, name: str, keys: list[str]) -> DataFrame:
-        """Of every key the rows of its last batch; batches are numbered."""
-        rows = self.read(name).withColumn("_number", F.col("batch").cast("bigint"))
-        last = rows.groupBy(*keys).agg(F.max("_number").alias("_number"))
-        return rows.join(last, [*keys, "_number"], "left_semi").drop("_number")
+        """Of every key the rows of its last batch; batches are numbered. Rows of the newest batch are current as they
+        are; only those of earlier ones meet the last batch of their key."""
+        batches = self.batches()
+        rows = self.read(name, batches).withColumn("_number", F.col("batch").cast("bigint"))
+        newest = max(map(int, batches))
+        fresh = rows.filter(F.col("_number") == newest).dropna(subset=keys)
+        if len(batches) > 1:
+            last = rows.groupBy(*keys).agg(F.max("_number").alias("_number"))
+            fresh = fresh.unionByName(rows.filter(F.col("_number") < newest).join(last, [*keys, "_number"], "left_semi"))
+        return fresh.drop("_number")

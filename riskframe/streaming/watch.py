@@ -15,7 +15,8 @@ from riskframe.operators.evidence import severity_counts
 from riskframe.operators.published import Published, Table
 from riskframe.operators.tables import expire
 from riskframe.seeds import LOCK_FILES
-from riskframe.sources.files import describe_files, project_files
+from riskframe.session import scratch_path
+from riskframe.sources.files import describe_files, land_manifests, project_files
 from riskframe.sources.manifests import resolve_packages
 
 # The text form of Bun's lock is watched beside the listed files.
@@ -50,11 +51,14 @@ def changed_packages(root: str, assess: Callable[[DataFrame], DataFrame] | None
 
 def landed_packages(path: str) -> Callable[[DataFrame], DataFrame]:
     """The packages of the projects that a batch names, from all their files in the table at `path`
-    (as `land_manifests` stores them). Projects and files meet in a join, so a batch may name any number."""
+    (as `land_manifests` stores them). Projects and files meet in a join, so a batch may name any number; it is made once, and
+    its files are landed as scratch, since each reader would else shuffle contents and projects anew."""
     def packages(batch: DataFrame) -> DataFrame:
         files = batch.sparkSession.read.parquet(path)
         projects = batch.select(batch["project_id"].cast(files.schema["project_id"].dataType).alias("project_id")).distinct()
-        return resolve_packages(files.join(projects, "project_id", "left_semi"))
+        own = scratch_path(batch.sparkSession, "batch-files")
+        land_manifests(files.join(projects, "project_id", "left_semi"), own)
+        return resolve_packages(batch.sparkSession.read.schema(files.schema).parquet(own))
 
     return packages
 

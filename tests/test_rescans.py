@@ -118,3 +118,24 @@ def test_the_choice_of_files_is_made_once(spark):
     assert "max(file_name" not in plan and plan.count("Join LeftSemi") == len({*READERS.values()}) - 2
     assert sorted((r.project_id, r.name) for r in found.collect()) == [
         ("five", "y"), ("four", "serde"), ("one", "event-stream"), ("one", "web"), ("quiet", "x"), ("three", "mod/a"), ("two", "tool")]
+
+
+def test_files_of_a_batch_are_landed_once(spark, tmp_path):
+    """Readers scan what was landed for the batch; none of them joins all files with the batch's projects."""
+    land_manifests(files(spark, FLEET), str(tmp_path / "landed"))
+    packages = watch.landed_packages(str(tmp_path / "landed"))
+    batch = spark.createDataFrame([("one", "package-lock.json"), ("three", "go.sum")], "project_id STRING, file_name STRING")
+    found = packages(batch)
+    assert sorted((r.project_id, r.name) for r in found.collect()) == [("one", "event-stream"), ("one", "web"), ("three", "mod/a")]
+    assert str(tmp_path) not in "".join(found.inputFiles())
+    assert packages(batch.limit(0)).count() == 0
+
+
+def test_rows_of_the_newest_batch_are_current_without_a_join(spark, tmp_path):
+    store = Published(spark, str(tmp_path / "store"))
+    store.commit(1, {"t": spark.createDataFrame([("p", "a"), ("q", "b"), (None, "c")], "k STRING, v STRING")})
+    only = store.current("t", ["k"])
+    assert sorted((r.k, r.v) for r in only.collect()) == [("p", "a"), ("q", "b")]
+    assert "Join" not in only._jdf.queryExecution().optimizedPlan().toString()
+    store.commit(2, {"t": spark.createDataFrame([("p", "d"), (None, "e")], "k STRING, v STRING")})
+    assert sorted((r.k, r.v) for r in store.current("t", ["k"]).collect()) == [("p", "d"), ("q", "b")]
